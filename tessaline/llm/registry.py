@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessaline.llm import bpe, warc
+from tessaline.llm import bpe, chat, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_warc": warc.op3_warc,
         "op7_bpe": bpe.op7_bpe,
+        "op8_chat": chat.op8_chat,
+        "op9_topk": topk.op9_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc": warc.OP3_SQL,
+        "op8_chat": chat.OP8_SQL,
+        "op9_topk": topk.OP9_SQL,
     }
