@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Unions don't pass on their inputs' partitioning: adaptive execution may coalesce each input differently afterwards."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def small_batches(spark: SparkSession) -> None:
     if int(spark.conf.get(_ARROW_ROWS)) != BATCH_ROWS:
         spark.conf.set(_ARROW_ROWS, str(BATCH_ROWS))

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessaline.llm.base import new_path, table, written
+from tessaline.llm.base import new_path, plain_unions, table, written
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -105,6 +105,7 @@ def reached(candidates: DataFrame) -> DataFrame:
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """A row per record: file, at, type, id, url, digest, refers_to, length and payload (the block's text)."""
+    plain_unions(spark)
     all_pieces = written(pieces(spark, path), "warc-pieces")
     length = _header(F.col("body"), "Content-Length")
     head_bytes = F.octet_length(F.substring_index("body", END, 1)) + 4
