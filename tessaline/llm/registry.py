@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessaline.llm import bpe, chat, topk, toxicity, warc
+from tessaline.llm import bpe, chat, mixing, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_mixing": mixing.op2_mixing,
         "op3_warc": warc.op3_warc,
         "op7_bpe": bpe.op7_bpe,
         "op8_chat": chat.op8_chat,
