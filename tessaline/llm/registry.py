@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessaline.llm import bpe, chat, mixing, topk, toxicity, warc
+from tessaline.llm import bpe, chat, licenses, mixing, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_mixing": mixing.op2_mixing,
         "op3_warc": warc.op3_warc,
+        "op4_licenses": licenses.op4_licenses,
         "op7_bpe": bpe.op7_bpe,
         "op8_chat": chat.op8_chat,
         "op9_topk": topk.op9_topk,
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc": warc.OP3_SQL,
+        "op4_licenses": licenses.OP4_SQL,
         "op8_chat": chat.OP8_SQL,
         "op9_topk": topk.OP9_SQL,
     }
