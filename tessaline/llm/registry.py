@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessaline.llm import bpe, chat, licenses, mixing, neardup, topk, toxicity, warc
+from tessaline.llm import bpe, chat, licenses, mixing, neardup, substrings, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": mixing.op2_mixing,
         "op3_warc": warc.op3_warc,
         "op4_licenses": licenses.op4_licenses,
+        "op5_substrings": substrings.op5_substrings,
         "op6_neardup": neardup.op6_neardup,
         "op7_bpe": bpe.op7_bpe,
         "op8_chat": chat.op8_chat,
@@ -27,6 +28,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc": warc.OP3_SQL,
         "op4_licenses": licenses.OP4_SQL,
+        "op5_substrings": substrings.OP5_SQL,
         "op6_neardup": neardup.OP6_SQL,
         "op8_chat": chat.OP8_SQL,
         "op9_topk": topk.OP9_SQL,
