@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessaline.llm import bpe, chat, licenses, mixing, neardup, substrings, topk, toxicity, warc
+from tessaline.llm import ann, bpe, chat, licenses, mixing, neardup, substrings, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bpe": bpe.op7_bpe,
         "op8_chat": chat.op8_chat,
         "op9_topk": topk.op9_topk,
+        "op10_ann": ann.op10_ann,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    """No SQL for a learned lexicon (op1), draws from hashes (op2, pipeline), BPE merges (op7) and graph search (op10)."""
     return {
         "op3_warc": warc.OP3_SQL,
         "op4_licenses": licenses.OP4_SQL,
