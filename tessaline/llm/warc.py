@@ -28,23 +28,25 @@ from tessaline.llm.base import new_path, plain_unions, table, written
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
+#: Repeated digests that are broadcast at most, of less than 100 bytes each.
+REPEATS = 50_000
 DATE = "2024-01-01T00:00:00Z"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: five hex digits are four digits of base 32."""
-    h = F.sha1(payload)
-    parts = [F.lpad(F.conv(F.substring(h, 1 + 5 * k, 5), 16, 32), 4, "0") for k in range(8)]
+def base32(digest: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: five hex digits are four digits of base 32. digest: a column of its own."""
+    parts = [F.lpad(F.conv(F.substring(digest, 1 + 5 * k, 5), 16, 32), 4, "0") for k in range(8)]
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """Writes a record per row. Ids are integers."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
-    rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.encode("payload", "UTF-8"))})
+    rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "hex": F.sha1(F.col("payload").cast("binary"))}).withColumn("digest", base32(F.col("hex")))
     first = rows.groupBy("digest", "bytes").agg(F.max("id").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # only digests that repeat meet the rows again; the join's sides are hash exchanges, so that adaptive execution splits a hot digest
-    rows = rows.join(first, ["digest", "bytes"], "left")
+    # only digests that repeat meet the rows again: few go to all tasks, more in an exchange, of which adaptive execution splits a hot digest
+    first = written(first, "warc-repeats")
+    rows = rows.join(F.broadcast(first) if first.count() <= REPEATS else first, ["digest", "bytes"], "left")
     revisit = F.col("target").isNotNull() & ~F.col("id").eqNullSafe(F.col("target"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))
@@ -65,26 +67,49 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     rows.select(record.alias("value")).write.option("lineSep", END).text(path)
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """file, at (offset of the magic that opens the piece), split, size and the bytes after the magic."""
+def _field(head: str, key: str) -> Column:
+    """A field of a header that starts and ends with a line break."""
+    found = F.regexp_extract(head, rf"(?i)\r\n{key}:[ \t]*([^\r\n]*)", 1)
+    return F.when(found == "", None).otherwise(found)
+
+
+def _with_header(rows: DataFrame) -> DataFrame:
+    """rows with what the header of `body` says."""
+    fields = {"type": "WARC-Type", "id": "WARC-Record-ID", "url": "WARC-Target-URI", "digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "length": "Content-Length"}
+    rows = rows.withColumn("head", F.concat(F.lit("\r\n"), F.substring_index("body", END, 1), F.lit("\r\n")))
+    rows = rows.withColumns({name: _field("head", key) for name, key in fields.items()})
+    length = F.when((F.octet_length("head") <= F.octet_length("body")) & F.col("length").rlike("^[0-9]{1,18}$"), F.col("length").cast("long"))
+    return rows.withColumns({"digest": F.regexp_replace("digest", "^sha1:", ""), "length": length, "head": F.octet_length("head").cast("long")})
+
+
+def _block(body: Column, head: Column, length: Column) -> Column:
+    """The block's text of a body that reaches to the record's end; head: the header's bytes with one line break before and after."""
+    return F.substring(body.cast("binary"), (head + 1).cast("int"), length.cast("int")).cast("string")
+
+
+def pieces(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
+    """A row per piece: file, split, at (offset of its magic), next (of its successor, if it has a good header), what its
+    header says, and digest and bytes of its block if the piece holds the record whole. The body stays only where it
+    doesn't, or for all with payloads."""
     raw = (
         spark.read.option("lineSep", MAGIC)
         .text(path)
         .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("body"), F.monotonically_increasing_id().alias("nth"))
-        .withColumn("size", F.octet_length("body").cast("long") + len(MAGIC))
     )
-    # per split only counts; they are few, and give each split's first offset
+    # a header and its blank line are head bytes: the line break put before it stands for the blank line's
+    raw = _with_header(raw).withColumns({"size": F.octet_length("body").cast("long") + len(MAGIC), "reach": F.col("head") + F.col("length") + len(END)})
+    raw = raw.withColumn("whole", F.coalesce(F.col("reach") == F.col("size") - len(MAGIC), F.lit(False)))
+    raw = raw.withColumn("block", F.when(F.col("whole"), F.substring(F.col("body").cast("binary"), (F.col("head") + 1).cast("int"), F.col("length").cast("int"))))
+    raw = raw.withColumns({"hex": F.sha1("block"), "own_bytes": F.octet_length("block").cast("long")}).withColumn("own", base32(F.col("hex")))
+    columns = ["file", "split", "nth", "size", "reach", "head", "length", "whole", "type", "id", "url", "digest", "refers_to", "own", "own_bytes"]
+    raw = written(raw.select(*columns, F.col("body") if payloads else F.when(~F.col("whole"), F.col("body")).alias("body")), "warc-raw")
+    # per split only sums; they are few, and give each split's first offset
     sums = raw.groupBy("file", "split").agg(F.sum("size").alias("bytes"))
-    sums = sums.select("file", "split", (F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - len(MAGIC)).alias("base"))
+    before = F.sum("bytes").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("file", "split", (F.coalesce(before, F.lit(0)) - len(MAGIC)).alias("base"))
     within = Window.partitionBy("file", "split").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     placed = raw.join(sums, ["file", "split"]).withColumn("at", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return placed.where("at >= 0").select("file", "split", "at", "size", "body")
-
-
-def _header(body: Column, key: str) -> Column:
-    head = F.concat(F.lit("\r\n"), F.substring_index(body, END, 1), F.lit("\r\n"))
-    found = F.regexp_extract(head, rf"(?i)\r\n{key}:[ \t]*([^\r\n]*)", 1)
-    return F.when(found == "", None).otherwise(found)
+    return written(placed.where("at >= 0").withColumn("next", F.col("at") + len(MAGIC) + F.col("reach")).drop("base", "nth", "size", "reach"), "warc-pieces")
 
 
 def reached(candidates: DataFrame) -> DataFrame:
@@ -103,44 +128,27 @@ def reached(candidates: DataFrame) -> DataFrame:
     return known.join(candidates.select("file", "at"), ["file", "at"], "left_semi")
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record: file, at, type, id, url, digest, refers_to, length and payload (the block's text)."""
+def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """A row per record: file, at, type, id, url, digest, refers_to, length, own and own_bytes (digest and bytes of the
+    block as read) and, if asked for, payload (the block's text)."""
     plain_unions(spark)
-    all_pieces = written(pieces(spark, path), "warc-pieces")
-    length = _header(F.col("body"), "Content-Length")
-    head_bytes = F.octet_length(F.substring_index("body", END, 1)) + 4
-    whole = F.instr("body", END) > 0
-    candidates = all_pieces.select(
-        "file",
-        "at",
-        F.when(whole & length.rlike("^[0-9]{1,18}$"), F.col("at") + len(MAGIC) + head_bytes + length.cast("long") + len(END)).alias("next"),
-    )
-    candidates = written(candidates, "warc-candidates")
-    good = reached(candidates).withColumn("good", F.lit(True))
-    marked = all_pieces.join(good, ["file", "at"], "left")
-    # pieces that no chain reaches belong to the last reached one before them: found over offsets alone, split by split
+    found = pieces(spark, path, payloads)
+    places = found.select("file", "at", "next")
+    good = written(reached(places).withColumn("good", F.lit(True)), "warc-good")
+    keep = ["file", "at", "type", "id", "url", "digest", "refers_to", "length", "own", "own_bytes", *(["payload"] if payloads else [])]
+    marked = found.join(good, ["file", "at"], "left")
+    whole = marked.where("good and whole")
+    if payloads:
+        whole = whole.withColumn("payload", _block(F.col("body"), F.col("head"), F.col("length")))
+    # other pieces are parts of the last reached record before them, which a running maximum over offsets alone finds
     order = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    alone = marked.where("good")
-    inner = marked.where("good is null").select("file", "at", "body")
-    starts = candidates.select("file", "at").join(good, ["file", "at"], "left")
-    owner = starts.select("file", "at", "good", F.last(F.when(F.col("good"), F.col("at")), True).over(order).alias("owner")).where("good is null and owner is not null").select("file", "at", "owner")
-    parts = inner.join(owner, ["file", "at"]).groupBy("file", F.col("owner").alias("at")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "body"))), lambda p: F.concat(F.lit(MAGIC), p["body"])), "").alias("rest"))
-    full = alone.join(parts, ["file", "at"], "left").withColumn("body", F.concat("body", F.coalesce("rest", F.lit("")))).select("file", "at", "body")
-    block = F.substring(F.col("body"), F.instr("body", END) + 4, F.length("body"))
-    rows = full.select(
-        "file",
-        "at",
-        _header(F.col("body"), "WARC-Type").alias("type"),
-        _header(F.col("body"), "WARC-Record-ID").alias("id"),
-        _header(F.col("body"), "WARC-Target-URI").alias("url"),
-        F.regexp_replace(_header(F.col("body"), "WARC-Payload-Digest"), "^sha1:", "").alias("digest"),
-        _header(F.col("body"), "WARC-Refers-To").alias("refers_to"),
-        _header(F.col("body"), "Content-Length").cast("long").alias("length"),
-        block.alias("block"),
-    )
-    # the block ends before CRLF CRLF, which the last record of a file carries in its piece
-    payload = F.when(F.octet_length("block") > F.col("length"), F.substring(F.col("block"), F.lit(1), F.length("block") - len(END))).otherwise(F.col("block"))
-    return rows.withColumn("payload", payload).drop("block")
+    owner = places.join(good, ["file", "at"], "left").select("file", "at", F.max(F.when(F.col("good"), F.col("at"))).over(order).alias("owner"))
+    parts = marked.where("good is null or not whole").join(owner, ["file", "at"]).where("owner is not null")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("body", F.lit("")).alias("body")))), lambda p: p["body"]), MAGIC)
+    cut = _with_header(parts.groupBy("file", F.col("owner").alias("at")).agg(text.alias("body"))).where("length is not null")
+    cut = cut.withColumn("payload", _block(F.col("body"), F.col("head"), F.col("length")))
+    cut = cut.withColumns({"hex": F.sha1(F.col("payload").cast("binary")), "own_bytes": F.octet_length("payload").cast("long")}).withColumn("own", base32(F.col("hex")))
+    return whole.select(*keep).unionByName(cut.select(*keep))
 
 
 def page_number(record_id: Column) -> Column:
@@ -150,7 +158,7 @@ def page_number(record_id: Column) -> Column:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
-    rows = read_archive(spark, path).select(page_number(F.col("id")).alias("page_id"), F.col("type").alias("record_type"), page_number(F.col("refers_to")).alias("refers_to"), "digest", "length", F.when(F.col("type") == "response", base32_sha1(F.encode("payload", "UTF-8"))).alias("own"), F.octet_length("payload").cast("long").alias("own_bytes"))
+    rows = read_archive(spark, path, payloads=False).select(page_number(F.col("id")).alias("page_id"), F.col("type").alias("record_type"), page_number(F.col("refers_to")).alias("refers_to"), "own", "own_bytes")
     rows = written(rows, "warc-read")
     # a revisit's payload is that of the response it names
     origin = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("own").alias("origin"), F.col("own_bytes").alias("origin_bytes"))
