@@ -30,11 +30,11 @@ from tessaline.llm.base import plain_unions, table, written
 from tessaline.llm.topk import usable
 
 #: Neighbours of a node; neighbours and reverse neighbours of a node that meet in a round, each.
-NEIGHBOURS, MEET = 20, 14
+NEIGHBOURS, MEET = 24, 20
 #: Vectors of a block, sets of blocks by projections (one more by a hash), rounds at most, and changed share that ends them.
-BLOCK, PROJECTIONS, ROUNDS, CHANGED = 200, 3, 5, 0.02
+BLOCK, PROJECTIONS, ROUNDS, CHANGED = 250, 4, 6, 0.01
 #: Nodes expanded in a step, and steps of a search.
-BEAM, STEPS = 24, 4
+BEAM, STEPS = 40, 4
 SEED = 5
 
 
