@@ -6,7 +6,8 @@ retained values: two sets of similarity s share about s * k of them, and must sh
 `m - t + 1` of either (m: values retained, t: the least overlap that counts), so common values have no list. First
 each member of a list meets the list's most central one, whose values are shared most. Pairs whose union sketch
 estimates too small a similarity go; the rest is verified on full sets. After that only members of different
-components still meet, so large groups never give all their pairs.
+components still meet: those that share a shingle which few of them have, found in buckets of hashes of full sets, and
+those that have enough other shingles to be similar without one. So large groups don't give all their pairs.
 
 `LEAST` is far enough below the threshold that a pair of similarity 0.8 falls below it with a probability under 1e-6.
 
@@ -26,6 +27,8 @@ from tessaline.llm.components import connected
 
 #: Retained values, and the least estimate that is verified.
 K, LEAST = 40, 0.45
+#: A shingle that so many open documents have at most is rare.
+RARE = 16
 #: Bits of the filter that spares documents without candidates from being hashed and moved again. It has this size
 #: always, and only ever lets too much through.
 BITS = 1 << 23
@@ -69,14 +72,15 @@ def signatures(docs: DataFrame, words: int, k: int = K) -> DataFrame:
 
 
 def inverted(classes: DataFrame, least: float = LEAST) -> DataFrame:
-    """Rows of the inverted lists: v, rep, n, alone (retained values that no other class has)."""
+    """Rows of the inverted lists: v, rep, n, alone (retained values that no other class has), mine (all its lists)."""
     values = classes.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
     counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = values.join(counts, "v").groupBy("rep", "n", "m").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("own"))
     overlap = F.ceil(F.lit(least) * F.col("m")).cast("int")
     shared = shared.where(F.size("own") >= overlap)
-    rows = shared.select("rep", "n", (F.col("m") - F.size("own")).alias("alone"), F.explode(F.slice("own", F.lit(1), F.size("own") - overlap + 1)).alias("x"))
-    return written(rows.select(F.col("x.v").alias("v"), "rep", "n", "alone"), "lists")
+    own = F.transform(F.slice("own", F.lit(1), F.greatest(F.size("own") - overlap + 1, F.lit(0))), lambda x: x["v"])
+    rows = shared.select("rep", "n", (F.col("m") - F.size("own")).alias("alone"), own.alias("mine"))
+    return written(rows.select(F.explode("mine").alias("v"), "rep", "n", "alone", "mine"), "lists")
 
 
 def _near_in_size(a: Column, b: Column, share: float) -> Column:
@@ -84,27 +88,87 @@ def _near_in_size(a: Column, b: Column, share: float) -> Column:
 
 
 def central_pairs(lists: DataFrame, share: float) -> DataFrame:
-    """Each member of a list with the list's most central member."""
+    """Each member of a list with the list's most central member, the one with the least `alone`."""
     center = lists.groupBy("v").agg(F.min(F.struct("alone", F.xxhash64("rep").alias("h"), "rep", "n")).alias("c")).select("v", F.col("c.rep").alias("a"), F.col("c.n").alias("a_n"))
     met = lists.join(center, "v").where((F.col("rep") != F.col("a")) & _near_in_size(F.col("n"), F.col("a_n"), share))
     return met.select(F.least("rep", "a").alias("a"), F.greatest("rep", "a").alias("b")).distinct()
 
 
-def other_pairs(lists: DataFrame, labels: DataFrame, seen: DataFrame, share: float) -> DataFrame:
-    """Pairs of a list's members that are in different components and haven't met."""
-    l = lists.join(labels, lists["rep"] == labels["node"], "left").select("v", "rep", "n", "alone", F.coalesce("label", "rep").alias("label"))
-    # lists with one component have nothing left to compare
-    open_lists = l.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
-    l = written(l.join(open_lists, "v", "left_semi"), "open-lists")
-    r = l.select("v", *(F.col(c).alias(f"r_{c}") for c in ("rep", "n", "alone", "label")))
-    met = l.join(r, (l["v"] == r["v"]) & (l["rep"] < r["r_rep"]) & (l["label"] != r["r_label"]) & _near_in_size(l["n"], r["r_n"], share) & possible(l["alone"], r["r_alone"]))
-    pairs = met.select(F.col("rep").alias("a"), F.col("r_rep").alias("b")).distinct()
+def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists whose members are in several components, with each member's component, as a written table."""
+    l = lists.join(labels, lists["rep"] == labels["node"], "left").select(*lists.columns, F.coalesce("label", "rep").alias("label"))
+    several = l.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
+    return written(l.join(several, "v", "left_semi"), "open-lists")
+
+
+def other_pairs(lists: DataFrame, seen: DataFrame, share: float) -> DataFrame:
+    """Pairs of a list's members that are in different components, haven't met, and can be similar enough.
+
+    lists: open ones, with s, the number of a member's shingles that more than RARE members have: two sets that share
+    no rare one, which have met already, share the smaller s at most.
+    """
+    percent = int(round(100 * share))
+    r = lists.select(F.col("v").alias("r_v"), *(F.col(c).alias(f"r_{c}") for c in ("rep", "n", "s", "label", "mine")))
+    most = F.least("s", "r_s")
+    can = most * 100 >= (F.col("n") + F.col("r_n") - most) * percent
+    once = F.array_min(F.array_intersect("mine", "r_mine")) == F.col("v")
+    met = lists.join(r, (F.col("v") == F.col("r_v")) & (F.col("rep") < F.col("r_rep")) & (F.col("label") != F.col("r_label")) & can & once)
+    pairs = met.select(F.col("rep").alias("a"), F.col("r_rep").alias("b"))
     return pairs.join(seen, ["a", "b"], "left_anti")
 
 
-def possible(a_alone: Column, b_alone: Column) -> Column:
-    """Whether so few values are in one sketch only that the estimate can reach LEAST."""
-    return F.greatest(a_alone, b_alone) <= int(K * (1 - LEAST))
+def compared(sets: DataFrame, total: int) -> DataFrame:
+    """What full sets of open lists tell, as a written table: rows rep, s (how many of its values more than RARE sets
+    have), and rows a, b (different components that share a value that no more than RARE sets have).
+
+    sets: id, label and set; total: values in all, about. Two sets that share no rare value share the smaller s at most.
+    """
+    buckets = max(64, total // 2_000_000)
+
+    def dealt(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, labels = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+            lengths = np.array([len(p) for p in parts])
+            if not lengths.sum():
+                continue
+            h, of = np.concatenate(parts), np.repeat(np.arange(len(ids)), lengths)
+            to = ((h.view(np.uint64) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            edges = np.r_[np.flatnonzero(np.r_[True, np.diff(to[order]) != 0]), len(order)]
+            rows = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            column = lambda x: pa.array([x[o].tobytes() for o in rows], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(to[[o[0] for o in rows]]), column(ids[of]), column(labels[of]), column(h)], names=["bucket", "ids", "labels", "hashes"])
+
+    def counted(t):
+        import pyarrow as pa
+
+        ids, labels, h = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for c in t[name].chunks for x in c]) for name in ("ids", "labels", "hashes"))
+        order = np.lexsort((ids, h))
+        once = np.r_[True, (np.diff(h[order]) != 0) | (np.diff(ids[order]) != 0)]
+        order = order[once]
+        starts = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0])
+        lengths = np.diff(np.r_[starts, len(order)])
+        own, label = ids[order], labels[order]
+        rep, s = np.unique(own[np.repeat(lengths > RARE, lengths)], return_counts=True)
+        pairs = [np.empty((0, 2), np.int64)]
+        for size in range(2, RARE + 1):
+            at = starts[lengths == size]
+            for x in range(size):
+                for y in range(x + 1, size):
+                    apart = label[at + x] != label[at + y]
+                    pairs.append(np.stack([own[at[apart] + x], own[at[apart] + y]], axis=1))
+            if sum(map(len, pairs)) > 1_000_000:
+                pairs = [np.unique(np.concatenate(pairs), axis=0)]
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        none = lambda n: pa.nulls(n, pa.int64())
+        counts = pa.table({"rep": rep, "s": s.astype(np.int64), "a": none(len(rep)), "b": none(len(rep))})
+        return pa.concat_tables([counts, pa.table({"rep": none(len(pairs)), "s": none(len(pairs)), "a": pairs[:, 0], "b": pairs[:, 1]})])
+
+    packed = sets.select("id", "label", "set").mapInArrow(dealt, "bucket bigint, ids binary, labels binary, hashes binary")
+    return written(packed.groupBy("bucket").applyInArrow(counted, "rep bigint, s bigint, a bigint, b bigint"), "compared")
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, least: float = LEAST) -> DataFrame:
@@ -152,10 +216,14 @@ def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return rows.withColumn("at", _place("id")).mapInArrow(run, "id bigint, set binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, share: float) -> DataFrame:
-    """The pairs (ids a, b) of similarity share or more, on the full sets of their documents' texts."""
-    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    sets = written(_full_sets(docs, ids, words).join(ids, "id", "left_semi"), "sets")
+def sets_of(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """id and set (binary) of the documents with these ids, as a written table."""
+    ids = written(ids.distinct(), "ids")
+    return written(_full_sets(docs, ids, words).join(ids, "id", "left_semi"), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """The pairs (ids a, b) of similarity share or more, on their full sets."""
     percent = int(round(100 * share))
 
     def run(batches):
@@ -182,11 +250,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: float = 0.8) -> Data
     classes = written(some.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
     lists = inverted(classes)
     first = written(estimated(central_pairs(lists, share), classes), "pairs")
-    links = written(verified(first, docs, words, share), "links")
-    labels = connected(links)
-    more = written(estimated(other_pairs(lists, labels, first, share), classes), "pairs")
-    if more.limit(1).count():
-        links = links.unionByName(written(verified(more, docs, words, share), "links"))
+    both = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id")))
+    links = written(verified(first, sets_of(both, docs, words), share), "links")
+    still = open_lists(lists, connected(links))
+    members = written(still.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"), F.max("label").alias("label")), "members")
+    total = members.agg(F.sum("n")).first()[0]
+    if total:
+        sets = sets_of(members.select("id"), docs, words)
+        told = compared(sets.join(members.select("id", "label"), "id"), total)
+        common = told.where("rep is not null").groupBy("rep").agg(F.sum("s").alias("s"))
+        still = still.join(common, "rep", "left").withColumn("s", F.coalesce("s", F.lit(0)))
+        still = written(still.withColumn("alone", (F.col("n") - F.col("s")) / F.col("n")), "open-lists")
+        # once more the centers, now known from full sets, and pairs of rare values; then whoever is still apart
+        near = members.select("id", "n")
+        rare = told.where("a is not null").select("a", "b").distinct().join(near.select(F.col("id").alias("a"), F.col("n").alias("a_n")), "a").join(near.select(F.col("id").alias("b"), F.col("n").alias("b_n")), "b")
+        rare = rare.where(_near_in_size(F.col("a_n"), F.col("b_n"), share)).select("a", "b")
+        second = central_pairs(still, share).unionByName(rare).distinct().join(first, ["a", "b"], "left_anti")
+        second = written(estimated(second, classes), "pairs")
+        links = links.unionByName(written(verified(second, sets, share), "links"))
+        apart = open_lists(still.drop("label"), connected(links))
+        third = written(estimated(other_pairs(apart, first.unionByName(second), share), classes), "pairs")
+        links = links.unionByName(written(verified(third, sets, share), "links"))
     # an id whose rows have several sets is one document
     several = some.select("doc_id", *keys).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
     same = some.select("doc_id", *keys).join(several, "doc_id").join(classes.select("rep", *keys), keys).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
@@ -209,7 +293,8 @@ def one_of_each(docs: DataFrame, words: int = 5, share: float = 0.8) -> DataFram
 
 OP6_SQL = r"""
 with d as (
-  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w from documents
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') as w from documents
 ), s as (
   select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
     else list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) end as s
