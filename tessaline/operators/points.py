@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessaline.functions.kernels import distance_squared
+from tessaline.operators.graph import _cut
 
 BLOCK = 1024
 
@@ -241,12 +242,11 @@ def kmeans_start(p: DataFrame, how: str = "distance", seed: int = 1) -> DataFram
 
 def two_means_split(p: DataFrame, rounds: int = 100, how: str = "distance", seed: int = 1) -> DataFrame:
     """node, id, x, part by Lloyd's method until nothing changes."""
-    p = p.select("node", "id", "x").persist()
-    got = kmeans_step(p, kmeans_start(p, how, seed)).persist()
+    p = _cut(p.select("node", "id", "x"))
+    got = _cut(kmeans_step(p, kmeans_start(p, how, seed)))
     for _ in range(rounds - 1):
-        after = kmeans_step(p, kmeans_centers(got)).persist()
+        after = _cut(kmeans_step(p, kmeans_centers(got)))
         moved = after.join(got.select("node", "id", F.col("part").alias("was")), ["node", "id"]).where("part <> was").limit(1).count()
-        got.unpersist()
         got = after
         if not moved:
             break
@@ -268,11 +268,11 @@ def cluster(p: DataFrame, how: str = "2means", leaf: int = 128, levels: int = 30
     done = rows.limit(0)
     for _ in range(levels):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c"))
-        open_ = rows.join(sizes.where(F.col("c") >= leaf), "node").drop("c").persist()
+        open_ = _cut(rows.join(sizes.where(F.col("c") >= leaf), "node").drop("c"))
         done = done.unionByName(rows.join(sizes.where(F.col("c") < leaf), "node").drop("c"))
         if not open_.limit(1).count():
             return done.select("id", "x", "node")
-        rows = split(open_).select((F.col("node") * 2 + F.col("part")).alias("node"), "id", "x").persist()
+        rows = split(open_).select((F.col("node") * 2 + F.col("part")).alias("node"), "id", "x").transform(_cut)
     return done.unionByName(rows).select("id", "x", "node")
 
 

@@ -63,7 +63,7 @@ def blr_tiles(a: DataFrame, n: int, o: Options = Options(), admissible: DataFram
             x, y = compressed(d, o)
             if x.shape[1] * sum(d.shape) < d.size:
                 u, v, kind = x, y, "low"
-        return pa.table({"ti": [first["ti"]], "tj": [first["tj"]], "kind": [kind], "rank": [int(u.shape[1])], "m": [first["m"]], "n": [first["n"]], "u": [u.ravel().tolist()], "v": [v.ravel().tolist()]})
+        return pa.table({"ti": [first["ti"]], "tj": [first["tj"]], "kind": [kind], "rank": [int(u.shape[1])], "m": [first["m"]], "n": [first["n"]], "u": pa.array([u.ravel()], pa.list_(pa.float64())), "v": pa.array([v.ravel()], pa.list_(pa.float64()))})
 
     return placed.groupBy("ti", "tj").applyInArrow(run, "ti bigint, tj bigint, kind string, rank bigint, m bigint, n bigint, u array<double>, v array<double>")
 
