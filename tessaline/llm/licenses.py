@@ -25,7 +25,7 @@ from tessaline.llm.base import table, written
 
 CONTAINED = 0.9
 
-# Phrases and their labels; statements and their labels.
+# Phrases and their labels; statements and their labels. No statement's words are all in another one's.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -35,7 +35,6 @@ TEMPLATES = [
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("lgpl", "This library is licensed under the GNU Lesser General Public License"),
-    ("cc-by-4.0", "Licensed under CC BY 4.0"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
     ("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0"),
