@@ -30,11 +30,11 @@ from tessaline.llm.base import plain_unions, table, written
 from tessaline.llm.topk import usable
 
 #: Neighbours of a node; neighbours and reverse neighbours of a node that meet in a round, each.
-NEIGHBOURS, MEET = 24, 20
+NEIGHBOURS, MEET = 32, 28
 #: Vectors of a block, sets of blocks by projections (one more by a hash), rounds at most, and changed share that ends them.
-BLOCK, PROJECTIONS, ROUNDS, CHANGED = 250, 4, 6, 0.01
+BLOCK, PROJECTIONS, ROUNDS, CHANGED = 250, 4, 8, 0.01
 #: Nodes expanded in a step, and steps of a search.
-BEAM, STEPS = 40, 4
+BEAM, STEPS = 96, 6
 SEED = 5
 
 
@@ -119,11 +119,11 @@ def _best(pairs: DataFrame) -> DataFrame:
     return one.withColumn("nth", nth).where(F.col("nth") <= NEIGHBOURS).drop("nth")
 
 
-def _round(graph: DataFrame, halves: DataFrame) -> DataFrame:
+def _round(graph: DataFrame, halves: DataFrame, nth_round: int) -> DataFrame:
     """Nearer pairs (a, b, d) that nodes find among their neighbours."""
     worst = graph.groupBy("a").agg(F.max("d").alias("worst"), F.count(F.lit(1)).alias("c")).select(F.col("a").alias("member"), F.when(F.col("c") >= NEIGHBOURS, F.col("worst")).otherwise(float("inf")).alias("worst"))
     both = graph.select(F.col("a").alias("u"), F.col("b").alias("member"), "new", F.lit(0).alias("way")).unionByName(graph.select(F.col("b").alias("u"), F.col("a").alias("member"), "new", F.lit(1).alias("way")))
-    nth = F.row_number().over(Window.partitionBy("u", "way").orderBy(F.col("new").desc(), F.xxhash64("u", "member")))
+    nth = F.row_number().over(Window.partitionBy("u", "way").orderBy(F.col("new").desc(), F.xxhash64("u", "member", F.lit(nth_round))))
     met = both.withColumn("nth", nth).where(F.col("nth") <= MEET).groupBy("u", "member").agg(F.max("new").alias("new"))
     member = halves.select(F.col("node").alias("member"), "h").join(worst, "member", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
     full = met.join(member, "member").groupBy("u").agg(F.collect_list(F.struct("member", "new", "worst", "h")).alias("all"))
@@ -155,8 +155,8 @@ def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     halves = _halves(nodes)
     n = halves.count()
     graph = written(_first(halves, n), "graph")
-    for _ in range(rounds):
-        found = _round(graph, halves)
+    for k in range(rounds):
+        found = _round(graph, halves, k)
         pairs = graph.select("a", "b", "d", F.lit(False).alias("new")).unionByName(found.withColumn("new", F.lit(True)))
         graph = written(_best(pairs), "graph")
         del found, pairs
