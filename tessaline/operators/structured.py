@@ -535,6 +535,48 @@ def sjlt(rows: int, cols: int, per_row: int, seed: int = 0, chunks: bool = False
     return np.repeat(np.arange(rows), per_row), j.ravel(), rng.choice([-1.0, 1.0], rows * per_row)
 
 
+def sketch(spark: SparkSession, rows: int, cols: int, per_row: int, seed: int = 0, chunks: bool = False) -> DataFrame:
+    """The sparse sketch as a matrix relation: a product with it is `sparse.gemm`."""
+    i, j, v = sjlt(rows, cols, per_row, seed, chunks)
+    return spark.createDataFrame(list(zip(i.tolist(), j.tolist(), v.tolist(), strict=True)), "i long, j long, v double")
+
+
+def tile_extents(tiles: DataFrame, n: int, leaf: int) -> DataFrame:
+    """Rows and columns of each tile with kind and rank: the rectangles of a drawing."""
+    edges = tiles.sparkSession.createDataFrame([(k, lo, hi) for k, (lo, hi) in enumerate(bounds(n, leaf))], "t long, lo long, hi long")
+    i, j = edges.select(F.col("t").alias("ti"), F.col("lo").alias("r0"), F.col("hi").alias("r1")), edges.select(F.col("t").alias("tj"), F.col("lo").alias("c0"), F.col("hi").alias("c1"))
+    return tiles.join(i, "ti").join(j, "tj").select("ti", "tj", "r0", "r1", "c0", "c1", "kind", "rank")
+
+
+def tile_extract(tiles: DataFrame, rows: list[int], cols: list[int], n: int, leaf: int) -> DataFrame:
+    """i, j (places in the lists) and v of a sub-matrix: only the tiles that hold it are looked at."""
+    spark = tiles.sparkSession
+    edges = bounds(n, leaf)
+    starts = np.array([lo for lo, _ in edges])
+
+    def named(places: list[int], t: str) -> DataFrame:
+        tile = np.searchsorted(starts, places, side="right") - 1
+        found = spark.createDataFrame([(int(k), int(p - starts[k]), at) for at, (k, p) in enumerate(zip(tile, places, strict=True))], f"{t} long, r int, at int")
+        return found.groupBy(t).agg(F.collect_list(F.struct("r", "at")).alias(f"{t}_at"))
+
+    met = tiles.join(named(rows, "ti"), "ti").join(named(cols, "tj"), "tj").select("kind", "m", "n", "u", "v", "ti_at", "tj_at")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                a = tile_values(r)
+                i, j = np.array([x["r"] for x in r["ti_at"]]), np.array([x["r"] for x in r["tj_at"]])
+                pi, pj = np.array([x["at"] for x in r["ti_at"]]), np.array([x["at"] for x in r["tj_at"]])
+                out.append((np.repeat(pi, len(pj)), np.tile(pj, len(pi)), a[np.ix_(i, j)].ravel()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]), t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["i", "j", "v"])
+
+    return met.mapInArrow(run, "i bigint, j bigint, v double")
+
+
 def packed(block: np.ndarray, atol: float = 1e-3) -> bytes:
     """A block rounded to multiples of 2 * atol (error atol at most), deflated; atol 0 keeps all digits."""
     head = np.array([*block.shape, 0], "<i8").tobytes() + np.array([atol], "<f8").tobytes()

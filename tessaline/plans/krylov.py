@@ -98,13 +98,16 @@ def gmres(a: Operator, b: DataFrame, m: Operator | None = None, x0: DataFrame |
         g[0], k = rho, 0
         while k < restart and total < most:
             w = _kept(m(a(basis[k])))
-            c = dots(w, basis)
-            w = _kept(axpy((1.0, w), *[(-x, v) for x, v in zip(c, basis, strict=True)]))
-            again = dots(w, basis)  # a second pass keeps the basis orthogonal
-            w = _kept(axpy((1.0, w), *[(-x, v) for x, v in zip(again, basis, strict=True)]))
-            h[: k + 1, k] = np.add(c, again)
-            h[k + 1, k] = norm(w)
-            size = h[k + 1, k]
+            *c, ww = dots(w, [*basis, w])
+            left = ww - sum(x * x for x in c)
+            w = axpy((1.0, w), *[(-x, v) for x, v in zip(c, basis, strict=True)])
+            if left < 1e-4 * ww:  # most of w is gone: once more, and its size from what is left
+                w = _kept(w)
+                again = dots(w, basis)
+                w = _kept(axpy((1.0, w), *[(-x, v) for x, v in zip(again, basis, strict=True)]))
+                c, left = np.add(c, again), norm(w) ** 2
+            h[: k + 1, k], size = c, math.sqrt(max(left, 0.0))
+            h[k + 1, k] = size
             for i, (cs, sn) in enumerate(turns):
                 h[i, k], h[i + 1, k] = cs * h[i, k] + sn * h[i + 1, k], -sn * h[i, k] + cs * h[i + 1, k]
             d = math.hypot(h[k, k], h[k + 1, k])

@@ -206,6 +206,24 @@ class Solver:
             return gmres(matrix_operator(self.a), b, m, rtol=o.rtol, atol=o.atol, most=o.most)
         return refine(self.a, b, m, rtol=o.rtol, atol=o.atol, most=o.most)
 
+    def report(self, b: DataFrame) -> tuple[Result, DataFrame]:
+        """A solve, and a row per phase of what it took: seconds, iterations, residual."""
+        import time
+
+        rows, begin = [], time.perf_counter()
+        for name, step in (("reorder", lambda: self.order or self.reorder()), ("factor", lambda: self.fronts or self.factor())):
+            step()
+            rows.append((name, time.perf_counter() - begin, None, None))
+            begin = time.perf_counter()
+        got = self.solve(b)
+        rows.append(("solve", time.perf_counter() - begin, got.iterations, got.residual))
+        return got, self.a.sparkSession.createDataFrame(rows, "phase string, seconds double, iterations long, residual double")
+
+    def layout(self) -> DataFrame:
+        """front, level, begin, end and update size of each front: the rectangles of a drawing."""
+        rows = [(k, lv, b, e, len(u)) for k, ((b, e, _), lv, u) in enumerate(zip(self.seps, self.level, self.upd, strict=True))]
+        return self.a.sparkSession.createDataFrame(rows, "front long, level long, begin long, end long, upd long")
+
     def statistics(self) -> DataFrame:
         """fronts, factor_nonzeros, largest front, levels: from the tree alone."""
         spark = self.a.sparkSession

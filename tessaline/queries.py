@@ -580,7 +580,7 @@ def _(s, d):
 
 @query("knn_recall", "SELECT true AS good")
 def _(s, d):
-    return s.createDataFrame([(points.approximate_knn(cloud(s, d), 16, 8)[1] >= 0.9,)], "good boolean")
+    return s.createDataFrame([(points.approximate_knn(cloud(s, d), 16, 14, goal=0.9)[1] >= 0.9,)], "good boolean")
 
 
 @query("knn_merge", f"SELECT id, rank, neighbour FROM (SELECT a.id, b.id AS neighbour, row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.id)::INT AS rank FROM P a JOIN P b ON b.id < 300 WHERE a.id % 5 = 0) WHERE rank <= 6")
