@@ -62,11 +62,12 @@ def levels(e: DataFrame, root: int, most: int = 10_000) -> DataFrame:
     seen, level = front, 0
     while level < most:
         level += 1
-        front = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("level", F.lit(level).cast("long")).persist()
+        front = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("level", F.lit(level).cast("long"))
+        front = _cut(front)
         if not front.limit(1).count():
             break
         seen = seen.unionByName(front)
-        if level % 10 == 0:
+        if level % 50 == 0:
             seen = _cut(seen)
     return seen
 
@@ -327,7 +328,7 @@ def greedy_matching(a: DataFrame, n: int) -> DataFrame:
         if not won.limit(1).count():
             break
         pairs = won if pairs is None else pairs.unionByName(won)
-        free = free.join(won.select("i"), "i", "left_anti").join(won.select("j"), "j", "left_anti").persist()
+        free = _cut(free.join(won.select("i"), "i", "left_anti").join(won.select("j"), "j", "left_anti"))
     return pairs
 
 
