@@ -442,18 +442,18 @@ def _(s, d):
     return graph.components(relation(s, d))
 
 
-@query("bfs_levels", "SELECT node, min(level)::BIGINT AS level FROM (WITH RECURSIVE w(node, level) AS (SELECT 1, 0 UNION SELECT E.dst, w.level + 1 FROM w JOIN E ON E.src = w.node WHERE w.level < 12) SELECT * FROM w) GROUP BY node")
+@query("bfs_levels", "SELECT node, min(level)::BIGINT AS level FROM (WITH RECURSIVE w(node, level) AS (SELECT 1::BIGINT, 0 UNION SELECT E.dst, w.level + 1 FROM w JOIN E ON E.src = w.node WHERE w.level < 12) SELECT * FROM w) GROUP BY node")
 def _(s, d):
     return graph.levels(relation(s, d), 1, 12)
 
 
-@query("middle_separator", ", L AS (SELECT node, min(level) AS level FROM (WITH RECURSIVE w(node, level) AS (SELECT 1, 0 UNION SELECT E.dst, w.level + 1 FROM w JOIN E ON E.src = w.node WHERE w.level < 12) SELECT * FROM w) GROUP BY node), M AS (SELECT max(level) + 1 AS n FROM L) SELECT DISTINCT node FROM L, M WHERE n < 3 OR (level = (n + 2) // 2 - 1 AND EXISTS (SELECT 1 FROM E JOIN L l2 ON l2.node = E.dst WHERE E.src = L.node AND l2.level = L.level + 1))")
+@query("middle_separator", ", L AS (SELECT node, min(level) AS level FROM (WITH RECURSIVE w(node, level) AS (SELECT 1::BIGINT, 0 UNION SELECT E.dst, w.level + 1 FROM w JOIN E ON E.src = w.node WHERE w.level < 12) SELECT * FROM w) GROUP BY node), M AS (SELECT max(level) + 1 AS n FROM L) SELECT DISTINCT node FROM L, M WHERE n < 3 OR (level = (n + 2) // 2 - 1 AND EXISTS (SELECT 1 FROM E JOIN L l2 ON l2.node = E.dst WHERE E.src = L.node AND l2.level = L.level + 1))")
 def _(s, d):
     e = relation(s, d)
     return graph.middle_separator(e, graph.levels(e, 1, 12))
 
 
-@query("tree_depth", "SELECT node, level::BIGINT AS level FROM (WITH RECURSIVE w(node, level) AS (SELECT 1, 0 UNION ALL SELECT w.node * 2 + k, w.level + 1 FROM w, (VALUES (0), (1)) t(k) WHERE w.node * 2 + k <= (SELECT count(*) FROM nation)) SELECT * FROM w)")
+@query("tree_depth", "SELECT node, level::BIGINT AS level FROM (WITH RECURSIVE w(node, level) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT w.node * 2 + k, w.level + 1 FROM w, (VALUES (0), (1)) t(k) WHERE w.node * 2 + k <= (SELECT count(*) FROM nation)) SELECT * FROM w)")
 def _(s, d):
     n = _t(s, d, "nation").count()
     s.range(1, n + 1).select(F.col("id").alias("node"), F.when(F.col("id") > 1, F.expr("id div 2")).alias("parent")).createOrReplaceTempView("tessaline_tree")
@@ -486,7 +486,7 @@ def _(s, d):
 # generators
 
 
-@query("poisson2d_nnz", "SELECT 4380::BIGINT AS nnz, 3600.0 - 3480.0 AS total")
+@query("poisson2d_nnz", "SELECT 4380::BIGINT AS nnz, (3600.0 - 3480.0)::DOUBLE AS total")
 def _(s, d):
     return generators.poisson2d(s, 30).agg(F.count(F.lit(1)).alias("nnz"), F.sum("v").alias("total"))
 
@@ -501,7 +501,7 @@ def _(s, d):
     return generators.poisson3d(s, 10).agg(F.count(F.lit(1)).alias("nnz"))
 
 
-@query("helmholtz3d", "SELECT (7 * 216 - 6 * 36)::BIGINT AS nnz, 5.0 * 216 - (6 * 216 - 6 * 36) AS re, -108.0 AS im")
+@query("helmholtz3d", "SELECT (7 * 216 - 6 * 36)::BIGINT AS nnz, (5.0 * 216 - (6 * 216 - 6 * 36))::DOUBLE AS re, -108.0::DOUBLE AS im")
 def _(s, d):
     return generators.helmholtz3d(s, 6).agg(F.count(F.lit(1)).alias("nnz"), F.sum("v.re").alias("re"), F.sum("v.im").alias("im"))
 
