@@ -252,6 +252,52 @@ def bisection_nd(g: Adjacency, leaf: int = 8) -> tuple[list[int], list[tuple[int
     return order, [tuple(s) for s in seps]
 
 
+def k_way(g: Adjacency, k: int) -> tuple[list[int], list[int]]:
+    """Nodes ordered by part, and the parts' sizes: halves of level structures from far roots, again and again."""
+
+    def cut(nodes: list[int], parts: int) -> list[list[int]]:
+        if parts == 1 or len(nodes) < 2:
+            return [sorted(nodes)]
+        mask, line = set(nodes), []
+        while mask:
+            found = [u for level in g.far_root(min(mask), mask) for u in level]
+            line += found
+            mask -= set(found)
+        at = len(nodes) * (parts // 2) // parts
+        return cut(line[:at], parts // 2) + cut(line[at:], parts - parts // 2)
+
+    found = cut(list(range(g.n)), k)
+    return [u for part in found for u in part], [len(part) for part in found]
+
+
+def subtree(seps: list[tuple[int, int, int]], root: int) -> list[tuple[int, int, int]]:
+    """The separators below a root, numbered from 0, children first."""
+    keep, inside = [], {root}
+    for k in range(len(seps) - 1, -1, -1):
+        if k == root or seps[k][2] in inside:
+            inside.add(k)
+            keep.append(k)
+    place = {k: n for n, k in enumerate(reversed(keep))}
+    return [(seps[k][0], seps[k][1], place.get(seps[k][2], -1) if k != root else -1) for k in reversed(keep)]
+
+
+def top_tree(seps: list[tuple[int, int, int]], leaves: int) -> list[int]:
+    """Separators of the top part: the largest subtree among the leaves is opened until there are so many leaves."""
+    size = [e - b for b, e, _ in seps]
+    kids: list[list[int]] = [[] for _ in seps]
+    for k, (_, _, parent) in enumerate(seps):
+        if parent >= 0:
+            size[parent] += size[k]
+            kids[parent].append(k)
+    edge, inside = [k for k, s in enumerate(seps) if s[2] < 0], []
+    while len(edge) < leaves and any(kids[k] for k in edge):
+        k = max((k for k in edge if kids[k]), key=lambda k: (size[k], k))
+        edge.remove(k)
+        inside.append(k)
+        edge += kids[k]
+    return sorted(inside + edge)
+
+
 def geometric_nd(sides: tuple[int, int, int], leaf: int = 8, width: int = 1) -> tuple[list[int], list[tuple[int, int, int]]]:
     """Nested dissection of a regular grid: the longest side is cut by `width` planes; order and separators."""
     nx, ny, _ = sides

@@ -221,6 +221,16 @@ def cut_levels(t: Node, levels: int) -> Node:
     return Node(t.lo, t.hi, [cut_levels(k, levels - 1) for k in t.kids] if levels > 1 else [])
 
 
+def completed(t: Node, levels: int | None = None) -> Node:
+    """The tree with all leaves on the deepest level: shallower leaves are halved, down to parts of nothing."""
+    levels = t.levels if levels is None else levels
+    if levels == 1:
+        return Node(t.lo, t.hi)
+    mid = t.lo + (t.hi - t.lo) // 2
+    kids = t.kids or [Node(t.lo, mid), Node(mid, t.hi)]
+    return Node(t.lo, t.hi, [completed(k, levels - 1) for k in kids])
+
+
 def tree_rows(t: Node) -> list[tuple[int, int, int, int, int | None]]:
     """node, lo, hi, level, parent in preorder."""
     out: list[tuple[int, int, int, int, int | None]] = []

@@ -25,7 +25,7 @@ FRONT = "front bigint, parent bigint, level bigint, sep array<bigint>, upd array
 class Options:
     ordering: str = "nd"  # nd, geometric, rcm, amd, mmd, natural
     sides: tuple[int, int, int] | None = None
-    leaf: int = 64
+    leaf: int = 128
     replace_tiny: float = 0.0
     lossy: float = 0.0  # absolute error of stored factors; 0 keeps them
     rtol: float = 1e-6

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessaline.operators import dense, graph, points, sparse, structured
-from tessaline.plans import krylov, multifrontal, options
+from tessaline.plans import construct, krylov, multifrontal, options
 from tessaline.plans.krylov import Outcome
 from tessaline.sources import files, generators
 from tessaline.streaming import updates
@@ -241,3 +241,39 @@ def test_streamed_values(spark, tmp_path):
     seen = []
     updates.on_update(stream, lambda batch, k: seen.append(batch.count()), f"{tmp_path}/check").awaitTermination(60)
     assert sum(seen) == 33
+
+
+def kernel(i, j):
+    return 1.0 / (1.0 + np.abs(i[:, None] - j[None]))
+
+
+def test_construction_from_elements_and_products(spark):
+    n, o = 160, structured.Options(leaf=20, rtol=1e-9, method="aca")
+    t, x = kernel(np.arange(n), np.arange(n)), np.arange(n) % 5 - 2.0
+    tiles = construct.tiles_from_elements(spark, kernel, n, o).persist()
+    assert np.allclose(structured.tile_dense(tiles, n, o.leaf), t, atol=1e-6)
+    assert np.allclose(construct.factored_tiles(tiles, n, o).solve(t @ x), x, atol=1e-5)
+    assert np.allclose(construct.from_elements(kernel, n, "hodlr", o).dense(), t, atol=1e-6)
+    h = construct.hss_from_products(lambda s: t @ s, lambda s: t.T @ s, kernel, n, o, d0=16, grow=16, over=4)
+    assert np.allclose(h.dense(), t, atol=1e-5) and h.rank < 40
+    assert np.allclose(construct.from_relation(generators.toeplitz(spark, n), n, "hss", o).factor().solve(t @ x), x, atol=1e-5)
+    k = n // 2
+    schur = t[k:, k:] - t[k:, :k] @ np.linalg.solve(t[:k, :k], t[:k, k:])
+    y = np.random.default_rng(1).standard_normal((n - k, 3))
+    assert np.allclose(construct.schur_product(structured.HSS.of(t, o))(y), schur @ y, atol=1e-5)
+    with pytest.raises(ValueError):
+        construct.collected(generators.toeplitz(spark, 2), construct.MOST + 1)
+
+
+def test_parts_and_tree_tops():
+    near = [(a, b) for a in range(64) for b in (a - 8, a + 8, a - 1 if a % 8 else -1, a + 1 if a % 8 < 7 else -1) if 0 <= b < 64]
+    g = graph.Adjacency(64, *np.array(near).T)
+    order, sizes = graph.k_way(g, 4)
+    assert sorted(order) == list(range(64)) and sizes == [16] * 4
+    _, seps = graph.bisection_nd(g)
+    top = graph.top_tree(seps, 4)
+    assert len(seps) - 1 in top and all(seps[k][2] in top for k in top if seps[k][2] >= 0)
+    assert len(graph.subtree(seps, len(seps) - 1)) == len(seps) and graph.subtree(seps, 0) == [(*seps[0][:2], -1)]
+    t = structured.completed(structured.cluster_tree(0, 50, 9))
+    depth = [lv for _, _, _, lv, _ in structured.tree_rows(t)]
+    assert sum(not n.kids for n in t.walk()) == 2 ** max(depth)
