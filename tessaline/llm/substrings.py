@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tessaline.llm.base import WordHasher, plain_unions, rolled, small_batches, table, text_buffers, written
 
-#: Words of a bucket and documents of a group, about.
-BUCKET_WORDS, GROUP_DOCS = 2_000_000, 1_000
+#: Words of a bucket, documents and words of a group, about.
+BUCKET_WORDS, GROUP_DOCS, GROUP_WORDS = 2_000_000, 1_000, 1_000_000
 LEAST_BUCKETS, LEAST_GROUPS = 64, 64
 BITS = 1 << 23
 SEEDS, BASE = (11, 12), 0xD6E8FEB86659FD93
@@ -341,7 +341,7 @@ def _free(spark: SparkSession) -> None:
 def repeats(docs: DataFrame, words: int, n_words: int, n_docs: int) -> tuple[DataFrame, int]:
     """Packed positions of all windows of `words` words that a smaller id has, by group; and the number of groups."""
     spark = docs.sparkSession
-    buckets, groups = max(LEAST_BUCKETS, n_words // BUCKET_WORDS), max(LEAST_GROUPS, n_docs // GROUP_DOCS)
+    buckets, groups = max(LEAST_BUCKETS, n_words // BUCKET_WORDS), max(LEAST_GROUPS, n_docs // GROUP_DOCS, n_words // GROUP_WORDS)
     by = lambda c, n: F.pmod(F.col(c), F.lit(n)).cast("long").alias("g")
     entries = docs.select("rid", "text").mapInArrow(_probed(words, buckets, groups), "bucket bigint, " + PACKED)
     hits = written(entries.groupBy("bucket").applyInArrow(_answered(words, groups), "g bigint, " + PACKED), "hits")
