@@ -74,7 +74,7 @@ class WordHasher:
     modulo 2**64 and mixed. Equal words have equal hashes in every process; `seed` picks the function.
     """
 
-    CHUNK = 1 << 20
+    CHUNK = 1 << 18
 
     def __init__(self, seed: int, lower: bool = False):
         rng = np.random.default_rng(seed)
