@@ -4,9 +4,9 @@ Equal vectors are one node, which knows its smallest ids; ids beyond the k + 1 s
 first neighbours come from exact search inside small blocks: blocks by a hash, and blocks by the signs of random
 projections, split where many vectors share them. Then, in rounds of Spark joins, every node brings its neighbours and
 a bounded number of those that have it as neighbour together; pairs with a new one among them are compared, and what
-is nearer than a node's farthest neighbour goes to that node. Rounds end when few lists change. In the graph's rounds
-vectors are half-precision numbers, divided by the largest component; all reported distances are double precision, from
-the original vectors.
+is nearer than a node's farthest neighbour goes to that node. Rounds end when few lists change. All distances are sums
+of squared differences in double precision, from the original components: these move as single precision only if that
+holds each of them exactly.
 
 A query starts at its own node. Each step expands its best nodes that weren't expanded yet: their neighbours, in both
 directions, are scored and join what it has seen.
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessaline.llm.base import plain_unions, table, written
+from tessaline.llm.base import fmix, plain_unions, small_batches, table, written
 from tessaline.llm.topk import usable
 
 #: Neighbours of a node; neighbours and reverse neighbours of a node that meet in a round, each.
@@ -36,17 +36,49 @@ BLOCK, PROJECTIONS, ROUNDS, CHANGED = 250, 4, 8, 0.01
 #: Nodes expanded in a step, and steps of a search.
 BEAM, STEPS = 96, 6
 SEED = 5
+#: Numbers that a step of exact distances holds at once.
+AT_ONCE = 1 << 21
+
+
+def _squares(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of rows i and j, pair by pair."""
+    step = max(1, AT_ONCE // max(1, x.shape[1]))
+    out = np.empty(len(i))
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(i), step):
+            diff = x[i[lo : lo + step]] - x[j[lo : lo + step]]
+            out[lo : lo + step] = np.einsum("ij,ij->i", diff, diff)
+    return out
 
 
 def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and squared distances of the k nearest others of each row."""
-    x = x.astype(np.float32)
-    sq = (x * x).sum(1)
-    d = sq[:, None] + sq[None] - 2 * (x @ x.T)
-    np.fill_diagonal(d, np.inf)
     k = min(k, len(x) - 1)
-    at = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.empty((len(x), 0), np.int64)
-    return at, np.maximum(np.take_along_axis(d, at, axis=1), 0)
+    at, best = np.empty((len(x), k), np.int64), np.empty((len(x), k))
+    step = max(1, AT_ONCE // max(1, x.size))
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(x) if k else 0, step):
+            diff = x[lo : lo + step, None] - x[None]
+            d = np.einsum("ijk,ijk->ij", diff, diff)
+            own = np.arange(len(d))
+            d[own, lo + own] = np.nan  # sorts behind infinity
+            at[lo : lo + step] = np.argpartition(d, k - 1, axis=1)[:, :k]
+            best[lo : lo + step] = np.take_along_axis(d, at[lo : lo + step], axis=1)
+    return at, best
+
+
+def _nearer(x: np.ndarray, may: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i and j, of those that may meet, nearer than i's worst, and their squared distances."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        # a product only rules pairs out, beyond its rounding error; what it leaves is measured
+        y = x - np.median(x, axis=0)
+        sq = (y * y).sum(1)
+        both = sq[:, None] + sq[None]
+        far = both - 2 * (y @ y.T) - 4 * (x.shape[1] + 4) * np.finfo(np.float64).eps * both >= worst[:, None]
+    i, j = np.nonzero(may & ~(far & np.isfinite(both)))
+    d = _squares(x, i, j)
+    good = d < worst[i]
+    return i[good], j[good], d[good]
 
 
 def nodes_of(vectors: DataFrame, k: int) -> DataFrame:
@@ -60,22 +92,23 @@ def nodes_of(vectors: DataFrame, k: int) -> DataFrame:
     return written(numbered.select(F.when(F.col("rank") == 1, F.element_at("ids", 1)).otherwise(F.xxhash64("x")).alias("node"), "x", "ids"), "nodes")
 
 
-def _halves(nodes: DataFrame) -> DataFrame:
-    """node, dim and h: half-precision components over the largest one of all."""
-    most = nodes.agg(F.max(F.array_max(F.transform("x", lambda v: F.abs(v))))).first()[0] or 1.0
+def _packed(nodes: DataFrame) -> tuple[DataFrame, type]:
+    """node, dim and h (components as bytes), and the type of the components."""
+    single = nodes.agg(F.min(F.forall("x", lambda v: v == v.cast("float").cast("double")))).first()[0]
+    kind = np.float32 if single else np.float64
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             lists = batch.column(1)
-            off, flat = np.asarray(lists.offsets), (np.asarray(lists.values, dtype=np.float64) / most).astype(np.float16)
+            off, flat = np.asarray(lists.offsets), np.asarray(lists.values, dtype=np.float64).astype(kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off).astype(np.int64)), pa.array([flat[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["node", "dim", "h"])
 
-    return written(nodes.select("node", "x").mapInArrow(run, "node bigint, dim bigint, h binary"), "halves")
+    return written(nodes.select("node", "x").mapInArrow(run, "node bigint, dim bigint, h binary"), "packed"), kind
 
 
-def _first(halves: DataFrame, n: int) -> DataFrame:
+def _first(packed: DataFrame, kind: type, n: int) -> DataFrame:
     """a, b and d: exact neighbours inside blocks."""
     bits = max(0, math.ceil(math.log2(max(1, n / BLOCK))))
 
@@ -86,27 +119,28 @@ def _first(halves: DataFrame, n: int) -> DataFrame:
             dims = np.asarray(batch.column(1))
             h = batch.column(2).to_pylist()
             for tree in range(PROJECTIONS + 1):
-                code = np.zeros(len(h), np.int64)
+                code = (fmix(np.asarray(batch.column(0)).astype(np.uint64)) >> np.uint64(64 - min(bits, 40))).astype(np.int64) if bits else np.zeros(len(h), np.int64)
                 if tree and bits:
                     for dim in np.unique(dims):
                         at = np.flatnonzero(dims == dim)
-                        x = np.stack([np.frombuffer(h[i], np.float16) for i in at]).astype(np.float32)
-                        r = np.random.default_rng((SEED, tree, int(dim))).standard_normal((int(dim), min(bits, 40))).astype(np.float32)
-                        code[at] = ((x @ r) > 0) @ (1 << np.arange(r.shape[1], dtype=np.int64))
+                        x = np.stack([np.frombuffer(h[i], kind) for i in at]).astype(np.float64)
+                        r = np.random.default_rng((SEED, tree, int(dim))).standard_normal((int(dim), min(bits, 40)))
+                        with np.errstate(over="ignore", invalid="ignore"):
+                            code[at] = ((x @ r) > 0) @ (1 << np.arange(r.shape[1], dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(h), tree)), pa.array(code)], names=["node", "dim", "h", "tree", "code"])
 
     keys = ["dim", "tree", "code"]
-    rows = written(halves.mapInArrow(coded, "node bigint, dim bigint, h binary, tree bigint, code bigint"), "coded")
+    rows = written(packed.mapInArrow(coded, "node bigint, dim bigint, h binary, tree bigint, code bigint"), "coded")
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
-    parts = rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("c") / BLOCK)))
+    parts = rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("c") / BLOCK)))
 
     def near(t):
         import pyarrow as pa
 
         ids = np.asarray(t["node"])
-        x = np.stack([np.frombuffer(b, np.float16) for b in t["h"].to_pylist()])
+        x = np.stack([np.frombuffer(b, kind) for b in t["h"].to_pylist()]).astype(np.float64)
         at, d = _nearest(x, NEIGHBOURS)
-        return pa.table({"a": np.repeat(ids, at.shape[1]), "b": ids[at.ravel()], "d": d.ravel().astype(np.float64)})
+        return pa.table({"a": np.repeat(ids, at.shape[1]), "b": ids[at.ravel()], "d": d.ravel()})
 
     found = parts.groupBy(*keys, "part").applyInArrow(near, "a bigint, b bigint, d double")
     return _best(found.withColumn("new", F.lit(True)))
@@ -119,13 +153,13 @@ def _best(pairs: DataFrame) -> DataFrame:
     return one.withColumn("nth", nth).where(F.col("nth") <= NEIGHBOURS).drop("nth")
 
 
-def _round(graph: DataFrame, halves: DataFrame, nth_round: int) -> DataFrame:
+def _round(graph: DataFrame, packed: DataFrame, kind: type, nth_round: int) -> DataFrame:
     """Nearer pairs (a, b, d) that nodes find among their neighbours."""
     worst = graph.groupBy("a").agg(F.max("d").alias("worst"), F.count(F.lit(1)).alias("c")).select(F.col("a").alias("member"), F.when(F.col("c") >= NEIGHBOURS, F.col("worst")).otherwise(float("inf")).alias("worst"))
     both = graph.select(F.col("a").alias("u"), F.col("b").alias("member"), "new", F.lit(0).alias("way")).unionByName(graph.select(F.col("b").alias("u"), F.col("a").alias("member"), "new", F.lit(1).alias("way")))
     nth = F.row_number().over(Window.partitionBy("u", "way").orderBy(F.col("new").desc(), F.xxhash64("u", "member", F.lit(nth_round))))
     met = both.withColumn("nth", nth).where(F.col("nth") <= MEET).groupBy("u", "member").agg(F.max("new").alias("new"))
-    member = halves.select(F.col("node").alias("member"), "h").join(worst, "member", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
+    member = packed.select(F.col("node").alias("member"), "h").join(worst, "member", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
     full = met.join(member, "member").groupBy("u").agg(F.collect_list(F.struct("member", "new", "worst", "h")).alias("all"))
 
     def run(batches):
@@ -136,12 +170,9 @@ def _round(graph: DataFrame, halves: DataFrame, nth_round: int) -> DataFrame:
             for row in batch.column(0):
                 v = row.values.flatten()
                 ids, new, worst = np.asarray(v[0]), np.asarray(v[1]).astype(bool), np.asarray(v[2])
-                x = np.stack([np.frombuffer(b.as_buffer(), np.float16) for b in v[3]]).astype(np.float32)
-                sq = (x * x).sum(1)
-                d = np.maximum(sq[:, None] + sq[None] - 2 * (x @ x.T), 0)
-                good = (new[:, None] | new[None]) & (d < worst[:, None]) & (ids[:, None] != ids[None])
-                i, j = np.nonzero(good)
-                out.append((ids[i], ids[j], d[i, j].astype(np.float64)))
+                x = np.stack([np.frombuffer(b.as_buffer(), kind) for b in v[3]]).astype(np.float64)
+                i, j, d = _nearer(x, (new[:, None] | new[None]) & (ids[:, None] != ids[None]), worst)
+                out.append((ids[i], ids[j], d))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["a", "b", "d"])
 
@@ -152,11 +183,12 @@ def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """a, b and d of the neighbour lists that NN-descent finds, as a written table."""
     spark = nodes.sparkSession
     plain_unions(spark)
-    halves = _halves(nodes)
-    n = halves.count()
-    graph = written(_first(halves, n), "graph")
+    small_batches(spark)  # a row of a round holds the vectors of all that meet
+    packed, kind = _packed(nodes)
+    n = packed.count()
+    graph = written(_first(packed, kind, n), "graph")
     for k in range(rounds):
-        found = _round(graph, halves, k)
+        found = _round(graph, packed, kind, k)
         pairs = graph.select("a", "b", "d", F.lit(False).alias("new")).unionByName(found.withColumn("new", F.lit(True)))
         graph = written(_best(pairs), "graph")
         del found, pairs

@@ -466,3 +466,25 @@ def test_nearest_neighbours(spark):
         assert [r for r, _, _ in ranked] == list(range(1, len(ranked) + 1)) and [(s, k) for _, s, k in ranked] == sorted((s, k) for _, s, k in ranked)
     assert hits / total >= 0.9
     assert ann.nearest(d.limit(0), F.col("id") % 20 == 0, 10).count() == 0
+
+
+def _lists(spark, x):
+    """The share of true neighbours in the lists that NN-descent finds."""
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>")
+    got = {}
+    for r in ann.neighbour_graph(ann.nodes_of(rows, 10)).collect():
+        got.setdefault(r.a, set()).add(r.b)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    return np.mean([len(set(np.argsort(d[k])[:10].tolist()) & got.get(k, set())) / 10 for k in range(len(x))])
+
+
+def test_neighbour_lists_beside_a_huge_vector(spark):
+    x = np.random.default_rng(2).standard_normal((700, 6))
+    x[0] *= 1e12
+    assert _lists(spark, x) >= 0.95
+
+
+def test_neighbour_lists_of_near_copies(spark):
+    x = 1 + 1e-6 * np.random.default_rng(3).standard_normal((700, 6))
+    assert _lists(spark, x) >= 0.95
