@@ -8,8 +8,10 @@ is nearer than a node's farthest neighbour goes to that node. Rounds end when fe
 of squared differences in double precision, from the original components: these move as single precision only if that
 holds each of them exactly.
 
-A query starts at its own node. Each step expands its best nodes that weren't expanded yet: their neighbours, in both
-directions, are scored and join what it has seen.
+A query starts at its own node. Each step expands those of its `width` best nodes that weren't expanded yet: their
+neighbours, in both directions, are scored and join what it has seen. It goes on until none is left. Then recall is
+measured on a sample of the queries, whose true neighbours come from comparing them with every node; while it is below
+`GOAL`, the width doubles and the search goes on from where it stood, until every node in reach is expanded.
 
 Vectors without id, null, zero ones, and those with a null or non-finite component take no part. Vectors of different
 length are never neighbours. Rows of one id are one candidate, with the nearest of its vectors; as a query the least
@@ -19,6 +21,7 @@ vector of an id counts. Fewer candidates than k give all; an empty table gives n
 from __future__ import annotations
 
 import gc
+import logging
 import math
 
 import numpy as np
@@ -29,12 +32,14 @@ from pyspark.sql import functions as F
 from tessaline.llm.base import fmix, plain_unions, small_batches, table, written
 from tessaline.llm.topk import usable
 
+log = logging.getLogger(__name__)
+
 #: Neighbours of a node; neighbours and reverse neighbours of a node that meet in a round, each.
 NEIGHBOURS, MEET = 32, 28
 #: Vectors of a block, sets of blocks by projections (one more by a hash), rounds at most, and changed share that ends them.
 BLOCK, PROJECTIONS, ROUNDS, CHANGED = 250, 4, 8, 0.01
-#: Nodes expanded in a step, and steps of a search.
-BEAM, STEPS = 96, 6
+#: Best nodes that a search expands at first, the recall up to which their number doubles, and queries that measure it.
+BEAM, GOAL, PROBES = 96, 0.99, 128
 SEED = 5
 #: Numbers that a step of exact distances holds at once.
 AT_ONCE = 1 << 21
@@ -199,7 +204,37 @@ def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return graph
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
+def true_neighbours(nodes: DataFrame, asked: DataFrame, k: int, probes: int = PROBES) -> DataFrame:
+    """id and node of the k nearest other nodes, compared with every node, of a sample of the queries (id, node, q)."""
+    some = asked.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(probes).collect()  # fixed size
+    wanted = [(r["id"], r["node"], np.asarray(r["q"], dtype=np.float64)) for r in some]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, off, flat = np.asarray(batch.column(0)), np.asarray(batch.column(1).offsets), np.asarray(batch.column(1).values, dtype=np.float64)
+            lengths, out = np.diff(off), []
+            of = {int(dim): np.flatnonzero(lengths == dim) for dim in np.unique(lengths)}
+            rows = {dim: flat[off[at][:, None] + np.arange(dim)] for dim, at in of.items()}
+            for id_, own, q in wanted:
+                if len(q) not in of:
+                    continue
+                here = ids[of[len(q)]]
+                with np.errstate(over="ignore"):
+                    d = np.where(here == own, np.nan, ((rows[len(q)] - q) ** 2).sum(1))
+                best = np.argsort(d, kind="stable")[:k]
+                best = best[here[best] != own]
+                out.append((np.full(len(best), id_), here[best], d[best]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=["id", "node", "d"])
+
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("d", "node"))
+    found = nodes.select("node", "x").mapInArrow(run, "id bigint, node bigint, d double")
+    return written(found.withColumn("nth", nth).where(F.col("nth") <= k).select("id", "node"), "truth")
+
+
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, goal: float = GOAL, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id and score. queries: id, node and x."""
     both = graph.select("a", "b").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b")))
     nth = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))
@@ -231,13 +266,26 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam:
         return full.select("id", "node", "x", "q").mapInArrow(run, "id bigint, node bigint, d double")
 
     seen = written(scored(asked.select("id", "node")).withColumn("step", F.lit(-1)).withColumn("done", F.lit(False)), "seen")
-    for step in range(steps):
-        nth = F.row_number().over(Window.partitionBy("id", "done").orderBy("d", "node"))
-        ranked = written(seen.withColumn("front", ~F.col("done") & (nth <= beam)), "ranked")
+    truth = true_neighbours(nodes, asked, k, probes)
+    due, width, step = truth.count(), max(beam, k + 1), 0
+    while True:
+        nth = F.row_number().over(Window.partitionBy("id").orderBy("d", "node"))
+        ranked = written(seen.withColumn("front", ~F.col("done") & (nth <= width)), "ranked")
+        left = ranked.agg(F.max("front").alias("front"), F.max(~F.col("done")).alias("open"), F.count(F.lit(1)).alias("visits"), F.countDistinct("id").alias("queries"), F.sum(F.col("done").cast("long")).alias("expanded")).first()
+        if not left["front"]:
+            recall = truth.join(ranked, ["id", "node"]).count() / due if due else 1.0
+            log.info("width %d, steps %d: recall %.4f of %d true neighbours; %d queries, nodes visited %d, expanded %d", width, step, recall, due, left["queries"], left["visits"], left["expanded"] or 0)
+            if recall >= goal or not left["open"]:
+                if recall < goal:
+                    log.warning("every node in reach is expanded, at a recall of %.4f", recall)
+                break
+            width *= 2
+            continue
         reached = ranked.where("front").select("id", F.col("node").alias("a")).join(edges, "a").select("id", F.col("b").alias("node")).distinct()
         fresh = reached.join(ranked.select("id", "node"), ["id", "node"], "left_anti")
         more = scored(fresh).select("id", "node", "d", F.lit(step).alias("step"), F.lit(False).alias("done"))
         seen = written(ranked.select("id", "node", "d", "step", (F.col("done") | F.col("front")).alias("done")).unionByName(more), "seen")
+        step += 1
     top = F.row_number().over(Window.partitionBy("id").orderBy("d", "node"))
     # k nodes but the query's own have k candidates at least; ties beyond them wait for their ids
     near = seen.withColumn("nth", top)

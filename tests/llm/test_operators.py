@@ -488,3 +488,14 @@ def test_neighbour_lists_beside_a_huge_vector(spark):
 def test_neighbour_lists_of_near_copies(spark):
     x = 1 + 1e-6 * np.random.default_rng(3).standard_normal((700, 6))
     assert _lists(spark, x) >= 0.95
+
+
+def test_search_goes_on_until_its_recall(spark):
+    # a ring: each node knows the next one only, so a fixed number of steps from 0 ends before the far side
+    n = 60
+    x = [(k, [float(np.cos(2 * np.pi * k / n)), float(np.sin(2 * np.pi * k / n))]) for k in range(n)]
+    nodes = ann.nodes_of(spark.createDataFrame(x, "id long, x array<double>"), 10)
+    graph = spark.createDataFrame([(k, (k + 1) % n, 0.01) for k in range(n)], "a long, b long, d double")
+    asked = spark.createDataFrame([(0, 0, x[0][1])], "id long, node long, x array<double>")
+    got = {r.vec_id for r in ann.search(nodes, graph, asked, 20, beam=2).collect()}
+    assert got == {k % n for k in range(-10, 11)} - {0}
