@@ -1,7 +1,9 @@
 """License scans, in DataFrame operations only: phrases by word positions, and statements by set containment.
 
 Statements. A block is a line of a text, as the set of its words; a template is a license statement, as a set too. A
-block matches if it holds at least `CONTAINED` of a template's words. Template words are counted over the blocks of all
+block matches if it holds at least `CONTAINED` of a template's words. For statements wrapped over lines, every window of
+as many words as a template has is a block for templates of that length, wherever lines break; only texts of several
+lines that hold enough of a template's words in all need windows. Template words are counted over the blocks of all
 texts and ordered from rare to frequent. A match must share one of the template's first `size - need + 1` words in that
 order (prefix filter), have `need` template words in all (length filter), and have enough words left on both sides
 after the shared one (positional filter). The templates' prefixes are a table of fixed size that goes to every task.
@@ -17,6 +19,8 @@ Extra columns are left alone.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +61,17 @@ def template_sets(templates=None) -> list[tuple[str, list[str]]]:
     return [(label, sorted(set(re.findall(WORD + "+", text.lower())))) for label, text in templates or TEMPLATES]
 
 
+def template_lengths(templates=None) -> list[int]:
+    """Words of each template, repeated ones too."""
+    import re
+
+    return [len(re.findall(WORD + "+", text)) for _, text in templates or TEMPLATES]
+
+
+def _needed(size: int, contained: float) -> int:
+    return math.ceil(contained * size - 1e-9)
+
+
 def _also(part: str):
     return lambda hit, word: F.coalesce(hit & (word == part), F.lit(False))
 
@@ -70,8 +85,8 @@ def _phrase_places(words: Column, phrase: str) -> Column:
     return F.array_compact(F.transform(hit, lambda h, i: F.when(h, i.cast("long"))))
 
 
-def scanned(docs: DataFrame, templates, id_col: str, text_col: str) -> DataFrame:
-    """uid, doc_id, n_words, places per phrase, and blocks (arrays of template words), as a written table."""
+def scanned(docs: DataFrame, templates, id_col: str, text_col: str, contained: float = CONTAINED) -> DataFrame:
+    """uid, doc_id, n_words, places per phrase, blocks (arrays of template words), and every word where a statement may be wrapped, as a written table."""
     universe = sorted({w for _, ws in template_sets(templates) for w in ws})
     text = F.coalesce(F.col(text_col), F.lit(""))
     phrase = "|".join(f"{GAP}+".join(p.split()) for p in PHRASES)
@@ -82,37 +97,63 @@ def scanned(docs: DataFrame, templates, id_col: str, text_col: str) -> DataFrame
     blocks = F.transform(lines, lambda t: F.array_distinct(F.filter(F.split(F.lower(t), f"{GAP}+"), known)))
     words = F.when(F.col("any"), F.filter(F.split(F.translate("text", UPPER, LOWER), f"{GAP}+"), lambda w: w != ""))
     rows = rows.withColumns({"blocks": F.filter(blocks, lambda b: F.size(b) > 0), "words": words})
+    # a statement over several lines has its words in several blocks
+    all_known = F.array_distinct(F.flatten("blocks"))
+    enough = [F.size(F.array_intersect("known", F.array(*map(F.lit, ws)))) >= _needed(len(ws), contained) for _, ws in template_sets(templates)]
+    rows = rows.withColumn("known", F.when(F.size("blocks") > 1, all_known))
+    rows = rows.withColumn("every", F.when(reduce(or_, enough), F.filter(F.split(F.lower("text"), f"{GAP}+"), lambda w: w != "")))
     rows = rows.withColumns({f"at_{k}": _phrase_places(F.col("words"), p) for k, p in enumerate(PHRASES)})
-    return written(rows.drop("text", "words", "any"), "licenses")
+    return written(rows.drop("text", "words", "any", "known"), "licenses")
+
+
+def windows(rows: DataFrame, templates=None, contained: float = CONTAINED) -> DataFrame:
+    """uid, block (-1), tokens and span (words) of the windows of `every` that may hold a statement."""
+    universe = sorted({w for _, ws in template_sets(templates) for w in ws})
+    least: dict[int, int] = {}
+    for n, (_, ws) in zip(template_lengths(templates), template_sets(templates), strict=True):
+        least[n] = min(least.get(n, n), _needed(len(ws), contained))
+
+    def of(n: int) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size("every") - n + 1, F.lit(1)))
+        tokens = F.transform(at, lambda i: F.array_distinct(F.filter(F.slice("every", i, n), lambda w: w.isin(universe))))
+        return F.transform(F.array_distinct(F.filter(tokens, lambda t: F.size(t) >= least[n])), lambda t: F.struct(F.lit(n).alias("span"), t.alias("tokens")))
+
+    some = rows.where(F.col("every").isNotNull()).select("uid", F.explode(F.concat(*[of(n) for n in least])).alias("w"))
+    return some.select("uid", F.lit(-1).alias("block"), "w.tokens", "w.span")
 
 
 def matches(blocks: DataFrame, templates=None, contained: float = CONTAINED) -> DataFrame:
-    """uid, block, label and containment of all blocks (uid, block, tokens: distinct words of the templates) that match."""
+    """uid, block, label and containment of all blocks (uid, block, tokens: distinct words of the templates) that match.
+
+    Blocks with a span (where there is such a column) match templates of as many words only.
+    """
     spark, sets = blocks.sparkSession, template_sets(templates)
     # as many rows as templates have words
     counts = {r["w"]: r["n"] for r in blocks.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     universe = sorted({w for _, ws in sets for w in ws}, key=lambda w: (counts.get(w, 0), w))
     rank = {w: k for k, w in enumerate(universe)}
-    index = []
+    index, lengths = [], template_lengths(templates)
+    span = F.col("span") if "span" in blocks.columns else F.lit(None).cast("int")
     for t, (label, ws) in enumerate(sets):
         ordered = sorted(rank[w] for w in ws)
-        need = math.ceil(contained * len(ordered) - 1e-9)
-        index += [(t, label, r, pos, len(ordered), need, ordered) for pos, r in enumerate(ordered[: len(ordered) - need + 1])]
-    prefixes = spark.createDataFrame(index, "t int, label string, r int, pos int, size int, need int, template array<int>")
-    least = min(need for *_, need, _ in index)
+        need = _needed(len(ordered), contained)
+        index += [(t, label, r, pos, len(ordered), need, ordered, lengths[t]) for pos, r in enumerate(ordered[: len(ordered) - need + 1])]
+    prefixes = spark.createDataFrame(index, "t int, label string, r int, pos int, size int, need int, template array<int>, length int")
+    least = min(row[5] for row in index)
     ranks = F.create_map(*[x for w, k in rank.items() for x in (F.lit(w), F.lit(k))])
-    rows = blocks.where(F.size("tokens") >= least).select("uid", "block", F.array_sort(F.transform("tokens", lambda w: F.element_at(ranks, w))).alias("own"))
-    probes = rows.select("uid", "block", "own", F.posexplode("own").alias("b_pos", "r"))
+    rows = blocks.where(F.size("tokens") >= least).select("uid", "block", span.alias("span"), F.array_sort(F.transform("tokens", lambda w: F.element_at(ranks, w))).alias("own"))
+    probes = rows.select("uid", "block", "span", "own", F.posexplode("own").alias("b_pos", "r"))
     left, right = F.col("size") - F.col("pos"), F.size("own") - F.col("b_pos")
-    found = probes.join(F.broadcast(prefixes), "r").where((F.size("own") >= F.col("need")) & (F.least(left, right) >= F.col("need") - F.least("pos", "b_pos")))
+    found = probes.join(F.broadcast(prefixes), "r").where(F.coalesce(F.col("span") == F.col("length"), F.lit(True)) & (F.size("own") >= F.col("need")) & (F.least(left, right) >= F.col("need") - F.least("pos", "b_pos")))
     shared = found.withColumn("both", F.array_intersect("own", "template")).where((F.size("both") >= F.col("need")) & (F.array_min("both") == F.col("r")))
     return shared.select("uid", "block", "label", (F.size("both") / F.col("size")).alias("containment"))
 
 
 def scan(docs: DataFrame, templates=None, contained: float = CONTAINED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each row."""
-    rows = scanned(docs, templates, id_col, text_col)
-    blocks = rows.select("uid", F.posexplode("blocks").alias("block", "tokens"))
+    rows = scanned(docs, templates, id_col, text_col, contained)
+    blocks = rows.select("uid", F.posexplode("blocks").alias("block", "tokens")).withColumn("span", F.lit(None).cast("int"))
+    blocks = blocks.unionByName(windows(rows, templates, contained))
     by_doc = matches(blocks, templates, contained).groupBy("uid").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
     places = F.flatten(F.array(*[F.coalesce(F.col(f"at_{k}"), F.array().cast("array<bigint>")) for k in range(len(PHRASES))]))
     base = F.array_compact(F.array(*[F.when(F.size(F.coalesce(F.col(f"at_{k}"), F.array().cast("array<bigint>"))) > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]))

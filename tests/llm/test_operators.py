@@ -241,6 +241,19 @@ def test_containment_against_brute_force(spark):
     assert got == want and want
 
 
+def test_statements_wrapped_anywhere(spark):
+    texts, want = [], []
+    for label, text in licenses.TEMPLATES:
+        words = text.split()
+        for at in range(1, len(words)):
+            texts.append((len(texts), "some prose before\n# " + " ".join(words[:at]) + "\n# " + " ".join(words[at:]) + " and more\nafter"))
+            want.append(label)
+    # words of a statement that are far from each other make none
+    texts.append((len(texts), "all of it\n" + "x " * 30 + "rights\n" + "y " * 30 + "reserved"))
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(label in got[k] for k, label in enumerate(want)) and got[len(want)] == [""]
+
+
 # repeated passages
 
 
