@@ -1,8 +1,13 @@
 """Chat formatting: any known layout to canonical turns, turns to training text, and back.
 
 A layout is known by its schema fingerprint: the SHA-256 of its nested field paths (arrays as `[]`, fields that no
-mapping knows left out, so extra columns don't matter). Each fingerprint selects a declarative mapping. Frames are
-told by their schema, JSON records one by one.
+mapping knows left out, so extra columns don't matter; one that bears the name of a known field does). Each fingerprint
+selects a declarative mapping. Frames are told by their schema, JSON records one by one.
+
+Of a list of turns, null items are none; a record with an item that isn't an object has an unknown layout, and so do
+records that are no object or no JSON. A list without turns gives none. Texts given as lists of parts are the texts of
+their parts, one after the other; other values count as their JSON. An id is an integer of 64 bits or a string of one,
+anything else counts as null.
 
 The template writes each turn as `<|turn|>role`, a line break, the text and `<|end|>`. In roles and texts `~`, `<` and
 `[` (in roles also the line break) are escaped, so no control string of this or a common other template (`</s>`,
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +35,8 @@ TURN, END = "<|turn|>", "<|end|>"
 ESCAPES = (("~", "~0"), ("<", "~1"), ("[", "~2"))
 ROLE_ESCAPES = (*ESCAPES, ("\n", "~3"))
 ASSISTANT = "assistant"
+#: Whole numbers in strings, of no more digits than 64 bits have.
+INTEGER = re.compile(r"[+-]?[0-9]{1,19}", re.ASCII)
 
 #: Layouts by name. paths: their fields. id: the conversation's id. order: of rows, if turns are rows.
 #: turns: (role, path of the text), or for lists (path of the role, path of the text) below `each`.
@@ -36,8 +44,14 @@ LAYOUTS = {
     "turn rows": {"paths": ["conv_id", "turn", "role", "text"], "id": "conv_id", "order": "turn", "row": ("role", "text")},
     "messages": {"paths": ["conv_id", "messages[].role", "messages[].content"], "id": "conv_id", "each": "messages", "item": ("role", "content")},
     "from-value": {"paths": ["id", "conversations[].from", "conversations[].value"], "id": "id", "each": "conversations", "item": ("from", "value"), "roles": {"human": "user", "gpt": ASSISTANT}},
+    "message parts": {"paths": ["conv_id", "messages[].role", "messages[].content[].type", "messages[].content[].text"], "id": "conv_id", "each": "messages", "item": ("role", "content")},
+    "texts and parts": {"paths": ["conv_id", "messages[].role", "messages[].content", "messages[].content[].type", "messages[].content[].text"], "id": "conv_id", "each": "messages", "item": ("role", "content")},
     "prompt": {"paths": ["conv_id", "prompt", "completion"], "id": "conv_id", "turns": [("user", "prompt"), (ASSISTANT, "completion")]},
     "instruction": {"paths": ["conv_id", "instruction", "input", "output"], "id": "conv_id", "turns": [("user", "instruction", "input"), (ASSISTANT, "output")]},
+    "plain instruction": {"paths": ["conv_id", "instruction", "output"], "id": "conv_id", "turns": [("user", "instruction"), (ASSISTANT, "output")]},
+    "context": {"paths": ["conv_id", "instruction", "context", "response"], "id": "conv_id", "turns": [("user", "instruction", "context"), (ASSISTANT, "response")]},
+    "question": {"paths": ["conv_id", "question", "answer"], "id": "conv_id", "turns": [("user", "question"), (ASSISTANT, "answer")]},
+    "query": {"paths": ["conv_id", "query", "response"], "id": "conv_id", "turns": [("user", "query"), (ASSISTANT, "response")]},
     "system prompt": {"paths": ["conv_id", "system", "prompt", "completion"], "id": "conv_id", "turns": [("system", "system"), ("user", "prompt"), (ASSISTANT, "completion")]},
 }
 KNOWN = {p for x in LAYOUTS.values() for p in x["paths"]}
@@ -68,17 +82,32 @@ def value_paths(value, prefix: str = "") -> set[str]:
     return {prefix}
 
 
+def record_paths(record: dict) -> set[str]:
+    """The paths of a JSON record; a list of turns without any has the fields of one."""
+    paths = value_paths(record)
+    for how in (x for x in LAYOUTS.values() if "each" in x):
+        turns = record.get(how["each"])
+        if isinstance(turns, list) and all(x is None for x in turns):
+            paths |= {x for x in how["paths"] if x.startswith(f"{how['each']}[].") and x.count("[]") == 1}
+    return paths
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def _joined(c: Column, kind: T.DataType) -> Column:
+    """A text, or the texts of a list of parts."""
+    return F.array_join(F.transform(c, lambda x: _text(x["text"])), "") if isinstance(kind, T.ArrayType) else _text(c)
+
+
 def canonical(df: DataFrame) -> DataFrame:
     """conv_id and turns (array of role and text) of a frame in one of the known layouts."""
     name = BY_FINGERPRINT.get(fingerprint(schema_paths(df.schema)))
     if name is None:
         raise ValueError(f"no mapping for the layout {sorted(schema_paths(df.schema))}")
     how = LAYOUTS[name]
-    conv = F.col(how["id"]).cast("long").alias("conv_id")
+    conv = F.col(how["id"]).try_cast("long").alias("conv_id")
     if "row" in how:
         role, text = how["row"]
         one = F.struct(F.col(how["order"]).isNull().alias("last"), F.col(how["order"]).alias("turn"), _text(F.col(role)).alias("role"), _text(F.col(text)).alias("text"))
@@ -87,36 +116,54 @@ def canonical(df: DataFrame) -> DataFrame:
     if "each" in how:
         role, text = how["item"]
         named = lambda c: F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in how.get("roles", {}).items()], _text(c))
-        return df.select(conv, F.coalesce(F.transform(how["each"], lambda x: F.struct(named(x[role]).alias("role"), _text(x[text]).alias("text"))), F.array().cast(TURNS)).alias("turns"))
+        kind = df.schema[how["each"]].dataType.elementType[text].dataType
+        some = F.filter(how["each"], lambda x: x.isNotNull())
+        return df.select(conv, F.coalesce(F.transform(some, lambda x: F.struct(named(x[role]).alias("role"), F.coalesce(_joined(x[text], kind), F.lit("")).alias("text"))), F.array().cast(TURNS)).alias("turns"))
     turns = F.array(*[F.struct(F.lit(role).alias("role"), F.concat_ws("\n", *[F.nullif(F.col(p).cast("string"), F.lit("")) for p in paths]).alias("text")) for role, *paths in how["turns"]])
     return df.select(conv, turns.alias("turns"))
 
 
+def _shown(value) -> str:
+    """A JSON value as a text, without code points that no text can hold (halves of surrogate pairs)."""
+    if isinstance(value, list) and value and all(isinstance(x, dict) and isinstance(x.get("text"), str | None) for x in value):
+        value = "".join(x.get("text") or "" for x in value)
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value)
+    return text.encode("utf-8", "replace").decode("utf-8")
+
+
+def _whole_number(value) -> int | None:
+    if isinstance(value, str):
+        value = int(value) if INTEGER.fullmatch(value.strip()) else None
+    return value if isinstance(value, int) and not isinstance(value, bool) and -(2**63) <= value < 2**63 else None
+
+
 def canonical_json(df: DataFrame, column: str = "record") -> DataFrame:
     """conv_id and turns of JSON records, each with a layout of its own (turn rows excepted); unknown ones: null turns."""
 
     def one(text: str | None):
         try:
             record = json.loads(text or "")
-        except ValueError:
+        except (ValueError, RecursionError):  # no JSON, or nested too deeply to be a conversation
             return None, None
-        how = LAYOUTS.get(BY_FINGERPRINT.get(fingerprint(value_paths(record))) or "")
+        how = LAYOUTS.get(BY_FINGERPRINT.get(fingerprint(record_paths(record))) or "") if isinstance(record, dict) else None
         if how is None or "row" in how:
             return None, None
-        show = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v)
         if "each" in how:
             role, text_at = how["item"]
-            turns = [(how.get("roles", {}).get(show(x.get(role)), show(x.get(role))), show(x.get(text_at))) for x in record[how["each"]]]
+            items = [x for x in record[how["each"]] if x is not None] if isinstance(record[how["each"]], list) else [None]
+            if not all(isinstance(x, dict) for x in items):
+                return None, None
+            turns = [(how.get("roles", {}).get(_shown(x.get(role)), _shown(x.get(role))), _shown(x.get(text_at))) for x in items]
         else:
-            turns = [(role, "\n".join(t for p in paths if (t := show(record.get(p))))) for role, *paths in how["turns"]]
-        return record.get(how["id"]), turns
+            turns = [(role, "\n".join(t for p in paths if (t := _shown(record.get(p))))) for role, *paths in how["turns"]]
+        return _whole_number(record.get(how["id"])), turns
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             got = [one(x) for x in batch.column(0).to_pylist()]
-            ids = [i if isinstance(i, int) else None for i, _ in got]
+            ids = [i for i, _ in got]
             turns = [None if t is None else [{"role": r, "text": x} for r, x in t] for _, t in got]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(turns, pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])))], names=["conv_id", "turns"])
 
