@@ -9,8 +9,8 @@ slot number's place within its round goes through a pseudorandom permutation of
 defined for any number of blocks and computed for a single index), the short block comes last. Slots and documents meet in
 an equi-join on source and block.
 
-Draws and permutations depend on `seed`, sources, sizes and ids alone, so reruns agree. Document order within a source
-is by a hash of the id. Running sums have two levels (groups, then rows of a group), so no task gets a source whole.
+Draws and permutations depend on `seed`, sources, texts and ids alone, so reruns agree. Document order within a source
+is by a hash of id and text. Running sums have two levels (groups, then rows of a group), so no task gets a source whole.
 
 Null texts have size 0; null sources are a source of their own, the last one. Documents of size 0 are never taken.
 Repeated rows are packed like different ones. An empty table gives no rows. Other columns are left alone.
@@ -30,12 +30,14 @@ ROUNDS = 12
 GROUP = 20_000
 #: Tickets of a bucket, in which a ticket finds its source.
 BUCKET = 4096
+#: Slots that a task numbers, about.
+SLOTS = 50_000
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", uid: Column | None = None) -> DataFrame:
-    """uid, doc_id, source and size (words) of each row, as a written table."""
+    """uid, doc_id, source, size (words) and place (a hash of id and text) of each row, as a written table."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select((F.monotonically_increasing_id() if uid is None else uid).alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    rows = docs.select((F.monotonically_increasing_id() if uid is None else uid).alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(id_col, text_col).alias("place"))
     return written(rows, "sizes")
 
 
@@ -43,9 +45,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     """A row per source: source, source_size, target. Weights go round the sources by code point, null last.
 
     Sources whose cap is reached first come first; the first one that stays below its cap at the level left by those
-    before it gives the level of all from there on. That is where resharing the excess ends.
+    before it gives the level of all from there on. That is where resharing the excess ends. The windows hold one row per
+    source in one task: sources are taken to be far fewer than documents.
     """
-    # sums of strings compare by their UTF-8 bytes, which is the order of code points
+    # strings compare by their UTF-8 bytes, which is the order of code points
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     nth = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))
     rows = by_source.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(nth - 1, F.lit(len(weights))) + 1).cast("int")))
@@ -104,7 +107,10 @@ def plan(sizes: DataFrame, by_source: DataFrame, seed: int = 1, block: int = BLO
     used = numbered.join(s, on(numbered, s)).select(s["*"], "shard", "from", F.least(F.col("from") + F.col("n"), F.col("slots")).alias("to"))
     had = counts.groupBy("source").agg(F.sum("n").alias("n"))
     more = s.join(had, on(s, had), "left").select(s["*"], F.lit(shards).cast("long").alias("shard"), F.coalesce("n", F.lit(0)).alias("from"), F.col("slots").alias("to"))
-    slots = used.unionByName(more).where("from < to").withColumn("slot", F.explode(F.sequence(F.col("from"), F.col("to") - 1)))
+    # what the shards left goes on in pieces of a shard's size; rows are few and small, so they are dealt by the slots they open
+    more = more.where("from < to").withColumn("from", F.explode(F.sequence(F.col("from"), F.col("to") - 1, F.lit(shard).cast("long")))).withColumn("to", F.least("to", F.col("from") + shard))
+    dealt = used.unionByName(more).where("from < to").repartition(max(1, total // SLOTS), "source", "from")
+    slots = dealt.withColumn("slot", F.explode(F.sequence(F.col("from"), F.col("to") - 1)))
     slots = slots.withColumns({"round": F.expr("slot div blocks"), "i": F.expr("slot % blocks")})
     at = F.when(F.col("i") >= F.col("whole"), F.col("i")).otherwise(shuffled(F.col("i"), F.greatest("whole", F.lit(1)), F.xxhash64(F.lit(seed), F.col("source"), F.col("round"))))
     words = F.least(F.when(F.col("i") >= F.col("whole"), F.col("tail")).otherwise(F.lit(block)), F.when(F.col("round") < F.col("rounds"), F.lit(block)).otherwise(F.col("rest") - F.col("i") * block))
@@ -114,8 +120,8 @@ def plan(sizes: DataFrame, by_source: DataFrame, seed: int = 1, block: int = BLO
 def segments(sizes: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
     """uid, doc_id, source, size, and round, from, to for each run of a document's words that a slot takes (null: none)."""
     groups = max(64, sizes.count() // GROUP)
-    rows = sizes.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    packed = running(rows, ["source"], "part", ["doc_id", "uid"], "size", "start")
+    rows = sizes.withColumn("part", F.pmod("place", F.lit(groups)))
+    packed = running(rows, ["source"], "part", ["doc_id", "place", "uid"], "size", "start")
     ends = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")))
     spans = packed.select("uid", "doc_id", "source", "size", "start", F.explode_outer(ends).alias("block"))
     b = slots.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "round", "words")
