@@ -38,9 +38,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset and so is the master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="tessaline-")
         shared_folder.own = folder
     return folder.rstrip("/")
@@ -54,7 +56,17 @@ def written(df: DataFrame, kind: str = "cut") -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing of it."""
     spark, path = df.sparkSession, new_path(df.sparkSession, kind)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def removed(*frames: DataFrame | None) -> None:
+    """Drops tables that `written` made and that no later step reads: what came from them is written itself."""
+    for df in frames:
+        if path := getattr(df, "written_to", None):
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def fmix(h: np.ndarray) -> np.ndarray:

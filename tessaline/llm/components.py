@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.base import plain_unions, written
+from tessaline.llm.base import plain_unions, removed, written
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -19,6 +19,8 @@ def connected(links: DataFrame) -> DataFrame:
         lower = written(lower, "labels")
         jump = lower.select(F.col("node").alias("at"), F.col("low").alias("jump"))
         after = written(lower.join(jump, lower["low"] == jump["at"], "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("label"), (F.least("low", F.coalesce("jump", "low")) < F.col("label")).alias("moved")), "labels")
+        removed(labels, lower)
         if after.where("moved").limit(1).count() == 0:
+            removed(both)
             return after.select("node", "label")
-        labels = after.select("node", "label")
+        labels = after
