@@ -29,6 +29,8 @@ from tessaline.llm.components import connected
 K, LEAST = 40, 0.45
 #: A shingle that so many open documents have at most is rare.
 RARE = 16
+#: Values that a task holds before it deals them out, values of a bucket, about, and members of a list that meet in one task.
+HELD, BUCKET, CHUNK = 1 << 20, 500_000, 500
 #: Bits of the filter that spares documents without candidates from being hashed and moved again. It has this size
 #: always, and only ever lets too much through.
 BITS = 1 << 23
@@ -108,66 +110,120 @@ def other_pairs(lists: DataFrame, seen: DataFrame, share: float) -> DataFrame:
     no rare one, which have met already, share the smaller s at most.
     """
     percent = int(round(100 * share))
-    r = lists.select(F.col("v").alias("r_v"), *(F.col(c).alias(f"r_{c}") for c in ("rep", "n", "s", "label", "mine")))
+    # members of a long list are dealt into chunks, and each two chunks meet in a place of their own
+    sizes = lists.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
+    rows = lists.join(sizes, "v").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    l = rows.withColumns({"lo": F.col("chunk"), "hi": F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1))})
+    r = rows.withColumns({"lo": F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunk"))), "hi": F.col("chunk")})
+    keys = ["v", "lo", "hi"]
+    r = r.select(*keys, *(F.col(c).alias(f"r_{c}") for c in ("rep", "n", "s", "label", "mine")))
     most = F.least("s", "r_s")
     can = most * 100 >= (F.col("n") + F.col("r_n") - most) * percent
-    once = F.array_min(F.array_intersect("mine", "r_mine")) == F.col("v")
-    met = lists.join(r, (F.col("v") == F.col("r_v")) & (F.col("rep") < F.col("r_rep")) & (F.col("label") != F.col("r_label")) & can & once)
-    pairs = met.select(F.col("rep").alias("a"), F.col("r_rep").alias("b"))
+    once = F.array_min(F.array_intersect("mine", "r_mine")) == F.col("l_v")
+    l = l.select(*(F.col(k).alias(f"l_{k}") for k in keys), *[c for c in l.columns if c not in keys])
+    met = l.join(r, [F.col(f"l_{k}") == F.col(k) for k in keys] + [(F.col("lo") < F.col("hi")) | (F.col("rep") < F.col("r_rep")), F.col("label") != F.col("r_label"), can, once])
+    pairs = met.select(F.least("rep", "r_rep").alias("a"), F.greatest("rep", "r_rep").alias("b"))
     return pairs.join(seen, ["a", "b"], "left_anti")
 
 
+#: Kinds of what tasks deal out: values with the sets they are of, common values alone, numbers of common values by set.
+ENTRY, COMMON, COUNT = range(3)
+
+
+def _runs(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by value and id in which each id comes once for a value, where each value starts, and how many ids it has."""
+    order = np.lexsort((ids, h))
+    if len(order):
+        order = order[np.r_[True, (np.diff(h[order]) != 0) | (np.diff(ids[order]) != 0)]]
+    starts = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0]) if len(order) else np.empty(0, np.int64)
+    return order, starts, np.diff(np.r_[starts, len(order)])
+
+
 def compared(sets: DataFrame, total: int) -> DataFrame:
     """What full sets of open lists tell, as a written table: rows rep, s (how many of its values more than RARE sets
     have), and rows a, b (different components that share a value that no more than RARE sets have).
 
     sets: id, label and set; total: values in all, about. Two sets that share no rare value share the smaller s at most.
+
+    A task counts the values it holds before it deals them out: one that more than RARE of its sets have goes to its
+    bucket once, without them, so a value that a third of all documents have has RARE entries a task at most.
     """
-    buckets = max(64, total // 2_000_000)
+    buckets = max(64, total // BUCKET)
 
     def dealt(batches):
         import pyarrow as pa
 
+        names = ["bucket", "kind", "ids", "labels", "hashes"]
+
+        def rows_of(held):
+            ids, labels = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            lengths, h = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+            of = np.repeat(np.arange(len(ids)), lengths)
+            order, starts, several = _runs(h, ids[of])
+            common = several > RARE
+            run_lengths = np.diff(np.r_[starts, len(order)])
+            heads, settled, ask = h[order[starts[common]]], order[np.repeat(common, run_lengths)], order[np.repeat(~common, run_lengths)]
+            out = []
+
+            def add(kind, hashes, docs):
+                to = ((hashes.view(np.uint64) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+                at = np.argsort(to, kind="stable")
+                edges = np.r_[np.flatnonzero(np.r_[True, np.diff(to[at]) != 0]), len(at)]
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    o = at[a:b]
+                    out.append((int(to[o[0]]), kind, None if docs is None else ids[docs[o]].tobytes(), None if docs is None else labels[docs[o]].tobytes(), hashes[o].tobytes()))
+
+            if len(ask):
+                add(ENTRY, h[ask], of[ask])
+            if len(heads):
+                add(COMMON, heads, None)
+                who, count = np.unique(ids[of[settled]], return_counts=True)
+                out.append((int(who[0] % buckets), COUNT, who.tobytes(), None, count.astype(np.int64).tobytes()))
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=names)
+
+        held, n = [], 0
         for batch in batches:
-            ids, labels = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
-            lengths = np.array([len(p) for p in parts])
-            if not lengths.sum():
-                continue
-            h, of = np.concatenate(parts), np.repeat(np.arange(len(ids)), lengths)
-            to = ((h.view(np.uint64) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            edges = np.r_[np.flatnonzero(np.r_[True, np.diff(to[order]) != 0]), len(order)]
-            rows = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            column = lambda x: pa.array([x[o].tobytes() for o in rows], pa.binary())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(to[[o[0] for o in rows]]), column(ids[of]), column(labels[of]), column(h)], names=["bucket", "ids", "labels", "hashes"])
+            for k in range(batch.num_rows):
+                part = np.frombuffer(batch.column(2)[k].as_buffer(), np.int64).copy()
+                if len(part):
+                    held.append((np.array([batch.column(0)[k].as_py()]), np.array([batch.column(1)[k].as_py()]), np.array([len(part)]), part))
+                    n += len(part)
+                if n >= HELD:
+                    yield rows_of(held)
+                    held, n = [], 0
+        if held:
+            yield rows_of(held)
 
     def counted(t):
         import pyarrow as pa
 
-        ids, labels, h = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for c in t[name].chunks for x in c]) for name in ("ids", "labels", "hashes"))
-        order = np.lexsort((ids, h))
-        once = np.r_[True, (np.diff(h[order]) != 0) | (np.diff(ids[order]) != 0)]
-        order = order[once]
-        starts = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0])
+        kind = np.asarray(t["kind"])
+        joined = lambda name, k: np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x.as_buffer(), np.int64) for x, own in zip(t[name], kind, strict=True) if own == k)])
+        ids, labels, h, known = joined("ids", ENTRY), joined("labels", ENTRY), joined("hashes", ENTRY), np.unique(joined("hashes", COMMON))
+        order, starts, several = _runs(h, ids)
+        common = (several > RARE) | np.isin(h[order[starts]], known)
         lengths = np.diff(np.r_[starts, len(order)])
-        own, label = ids[order], labels[order]
-        rep, s = np.unique(own[np.repeat(lengths > RARE, lengths)], return_counts=True)
+        own = np.r_[ids[order[np.repeat(common, lengths)]], joined("ids", COUNT)]
+        rep, at = np.unique(own, return_inverse=True)
+        s = np.zeros(len(rep), np.int64)
+        np.add.at(s, at, np.r_[np.ones(len(own) - len(joined("ids", COUNT)), np.int64), joined("hashes", COUNT)])
         pairs = [np.empty((0, 2), np.int64)]
         for size in range(2, RARE + 1):
-            at = starts[lengths == size]
+            first = starts[~common & (lengths == size)]
             for x in range(size):
                 for y in range(x + 1, size):
-                    apart = label[at + x] != label[at + y]
-                    pairs.append(np.stack([own[at[apart] + x], own[at[apart] + y]], axis=1))
+                    p, q = order[first + x], order[first + y]
+                    apart = labels[p] != labels[q]
+                    pairs.append(np.stack([ids[p[apart]], ids[q[apart]]], axis=1))
             if sum(map(len, pairs)) > 1_000_000:
                 pairs = [np.unique(np.concatenate(pairs), axis=0)]
-        pairs = np.unique(np.concatenate(pairs), axis=0)
+        pairs = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
         none = lambda n: pa.nulls(n, pa.int64())
-        counts = pa.table({"rep": rep, "s": s.astype(np.int64), "a": none(len(rep)), "b": none(len(rep))})
+        counts = pa.table({"rep": rep, "s": s, "a": none(len(rep)), "b": none(len(rep))})
         return pa.concat_tables([counts, pa.table({"rep": none(len(pairs)), "s": none(len(pairs)), "a": pairs[:, 0], "b": pairs[:, 1]})])
 
-    packed = sets.select("id", "label", "set").mapInArrow(dealt, "bucket bigint, ids binary, labels binary, hashes binary")
+    packed = sets.select("id", "label", "set").mapInArrow(dealt, "bucket bigint, kind int, ids binary, labels binary, hashes binary")
     return written(packed.groupBy("bucket").applyInArrow(counted, "rep bigint, s bigint, a bigint, b bigint"), "compared")
 
 
@@ -293,8 +349,7 @@ def one_of_each(docs: DataFrame, words: int = 5, share: float = 0.8) -> DataFram
 
 OP6_SQL = r"""
 with d as (
-  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') as w from documents
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
 ), s as (
   select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
     else list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) end as s
