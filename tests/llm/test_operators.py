@@ -95,6 +95,31 @@ def test_folding_and_exceptions():
     assert m.score("idiot")[0] > m.score("idiot " + "word " * 500)[0]
 
 
+def test_hits_and_scores_against_a_plain_matcher(spark, docs):
+    """Every entry at every place of the folded text, no automaton."""
+    import math
+
+    lexicon = {"idiot": 4.0, "idi": 1.5, "scum": 2.0, "w1": 0.5, "moron": 3.0, "oxymoron": 9.0, "start": 0.25}
+    lexicon = {toxicity.folded(k).strip(): v for k, v in lexicon.items()}
+    texts = ["you 1d10t idi idiots", "pond scum scum", "an oxymoron, a moron", "scum line of scum", "w1 w10 w11", "class clown idiot", ""]
+    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900 + k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    weights = (-3.0, 2.0, 0.7)
+    got = sorted((str(r.doc_id), round(r.score, 12), r.hits) for r in toxicity.scored(d, lexicon, weights).collect())
+
+    def plain(text):
+        line = toxicity.folded(text or "")
+        spans = [(i, i + len(p)) for p in {toxicity.folded(x).strip() for x in toxicity.EXCEPTIONS} for i in range(len(line)) if line.startswith(" " + p, i)]
+        total = n = 0
+        for i in range(len(line)):
+            here = [w for e, w in lexicon.items() if line.startswith(" " + e, i) and not any(a <= i <= b for a, b in spans)]
+            total, n = total + max(here, default=0.0), n + bool(here)
+        z = weights[0] + weights[1] * math.log1p(total) + weights[2] * math.log1p(100 * total / max(len(line.split()), 20))
+        return round(1 / (1 + math.exp(-z)), 12), n
+
+    small = [(i, t) for i, t in ((r.doc_id, r.text) for r in d.collect())]
+    assert got == sorted((str(i), *plain(t)) for i, t in small)
+
+
 def test_toxicity_learns_from_its_fold_only(spark, tmp_path):
     rng = random.Random(1)
     docs, labels = [], []
@@ -171,6 +196,25 @@ def test_mixing_against_rounds(spark, docs, tmp_path):
     assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
 
 
+def test_taken_words_against_packing_by_hand(spark, docs):
+    sizes = mixing.sized(docs)
+    by = mixing.targets(sizes)
+    slots = mixing.plan(sizes, by, block=64, shard=32)
+    got = {}
+    for r in mixing.segments(sizes, slots, block=64).collect():
+        got[r.uid] = got.get(r.uid, 0) + ((r["to"] - r["from"]) if r["to"] is not None else 0)
+    low = lambda v: (v is not None, v or 0)
+    order = sorted(sizes.collect(), key=lambda r: (r.place % 64, low(r.doc_id), r.place, r.uid))
+    words = {}
+    for r in order:
+        words.setdefault(r.source, []).extend([r.uid] * r.size)
+    want = {r.uid: 0 for r in order}
+    for r in slots.collect():
+        for uid in words[r.source][r.block * 64 : r.block * 64 + r.words]:
+            want[uid] += 1
+    assert got == want and max(want.values()) > 64
+
+
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 3, None: 500}, {"é": 7, "z": 0, "a": 0}, {"a": 0}])
 def test_targets(spark, sizes):
     d = spark.createDataFrame(list(sizes.items()), "source string, size long")
@@ -358,6 +402,39 @@ def test_near_duplicates_of_all_kinds(spark, docs, none):
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {None} | {k for k, c in grouped(some, 5, 0.8)[0].items() if k == c}
 
 
+def test_near_duplicates_of_long_lists(spark, monkeypatch):
+    """Many documents around one template: a shingle that all have, lists dealt into chunks, values held in parts."""
+    monkeypatch.setattr(neardup, "CHUNK", 5)
+    monkeypatch.setattr(neardup, "HELD", 3000)
+    rng = random.Random(4)
+    template, documents = words(rng, 70, 3000).split(), []
+    for k in range(160):
+        body = words(rng, 60, 9000).split() if k % 4 else []
+        own = [w if rng.random() > 0.02 else f"e{rng.randrange(9999)}" for w in template]
+        documents.append((k, " ".join(own + body[: rng.choice([3, 8, 12, 16, 60])])))
+    documents += [(200 + k, " ".join([*template[:50], *words(random.Random(k // 2), 40, 5000).split()])) for k in range(60)]
+    rng.shuffle(documents)
+    got = neardup.near_duplicates(spark.createDataFrame(documents, "doc_id long, text string").repartition(4), 4).collect()
+    assert {r.doc_id: r.component_id for r in got} == grouped(documents, 4, 0.8)[0]
+
+
+def test_near_duplicates_white_space(spark):
+    documents = [(1, "a\rb\x0cc\x0bd e\tf g"), (2, "a b c d e f g"), (3, "a\x1cb c d e f g"), (4, "a b\x0c"), (5, "\x0bA  b"), (6, "\r\x0c\x0b")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(documents, "doc_id long, text string"), 4).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (3, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
+def test_near_duplicates_sql_agrees(spark, tmp_path):
+    import duckdb
+
+    documents = [(k, t) for k, t in {r[0]: r[1] for r in rows() if r[0] is not None}.items() if len(t or "") < 5000] + [(50, "a\rb\x0cc\x0bd e\tf g"), (51, "a b c d e f g"), (52, "a\x1cb c d e f g")]
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(f"select doc_id, n_shingles, component_id, kept from ({neardup.OP6_SQL})").fetchall())
+    assert sorted(tuple(r) for r in neardup.op6_neardup(spark, str(tmp_path)).collect()) == want
+
+
 # tokens
 
 
@@ -424,6 +501,47 @@ def test_chat_layouts(spark):
     assert [[(t.role, t.text) for t in r.turns] if r.turns is not None else None for r in got] == [want, want, want, None, None, None]
 
 
+def test_chat_odd_records(spark):
+    """Each odd record has its defined result and none ends the job."""
+    ok = '{"role": "user", "content": "q"}'
+    cases = [
+        ('{"conv_id": 1, "messages": [%s, null]}' % ok, 1, [("user", "q")]),
+        ('{"conv_id": 1, "messages": [%s, "a"]}' % ok, None, None),
+        ('{"conv_id": 1, "messages": [%s, 3]}' % ok, None, None),
+        ('{"conv_id": 1, "messages": []}', 1, []),
+        ('{"conv_id": 1, "messages": [null, null]}', 1, []),
+        ('{"conv_id": 1, "messages": null}', None, None),
+        ('{"conv_id": 1, "messages": ["a"]}', None, None),
+        ('{"conv_id": 123456789012345678901234567890, "prompt": "q", "completion": "a"}', None, [("user", "q"), ("assistant", "a")]),
+        ('{"conv_id": true, "prompt": "q", "completion": null}', None, [("user", "q"), ("assistant", "")]),
+        ('{"conv_id": "12", "prompt": 5, "completion": false}', 12, [("user", "5"), ("assistant", "false")]),
+        ('{"conv_id": "twelve", "query": "q", "response": "a"}', None, [("user", "q"), ("assistant", "a")]),
+        ('{"conv_id": 1.5, "question": "q", "answer": "a"}', None, [("user", "q"), ("assistant", "a")]),
+        ('{"conv_id": 2, "messages": [{"role": "user", "content": [{"type": "text", "text": "q"}, {"type": "text", "text": "r"}]}]}', 2, [("user", "qr")]),
+        ('{"conv_id": 2, "messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": "a"}]}', 2, [("user", "q"), ("assistant", "a")]),
+        ('{"conv_id": 2, "prompt": "\\ud800", "completion": "a"}', 2, [("user", "?"), ("assistant", "a")]),
+        ('{"None": [], "conv_id": 1}', None, None),
+        ("[1, 2]", None, None),
+        ("[" * 100_000, None, None),
+        ("5", None, None),
+    ]
+    d = spark.createDataFrame([(k, r) for k, (r, _, _) in enumerate(cases)], "k int, record string").coalesce(1)
+    got = chat.canonical_json(d.orderBy("k")).collect()
+    for (record, conv_id, turns), r in zip(cases, got, strict=True):
+        assert r.conv_id == conv_id, record
+        assert (None if r.turns is None else [(t.role, t.text) for t in r.turns]) == turns, record
+    f = spark.createDataFrame([("x", [None, ("user", [("text", "q"), ("text", "r")])])], "conv_id string, messages array<struct<role:string,content:array<struct<type:string,text:string>>>>")
+    assert [(r.conv_id, [(t.role, t.text) for t in r.turns]) for r in chat.canonical(f).collect()] == [(None, [("user", "qr")])]
+
+
+def test_chat_very_long_and_repeated(spark):
+    long = "[<~\n" * 300_000
+    d = spark.createDataFrame([(1, k, "assistant", long if k == 0 else f"t{k % 3}") for k in range(3000)] * 2, "conv_id long, turn long, role string, text string")
+    r = chat.read_back(chat.formatted(chat.canonical(d))).first()
+    want = "".join([long, long] + [x for k in range(1, 3000) for x in [f"t{k % 3}"] * 2])
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (6000, len(want), hashlib.sha256(want.encode()).hexdigest())
+
+
 # vectors
 
 
