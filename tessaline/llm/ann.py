@@ -11,7 +11,7 @@ holds each of them exactly.
 A query starts at its own node. Each step expands those of its `width` best nodes that weren't expanded yet: their
 neighbours, in both directions, are scored and join what it has seen. It goes on until none is left. Then recall is
 measured on a sample of the queries, whose true neighbours come from comparing them with every node; while it is below
-`GOAL`, the width doubles and the search goes on from where it stood, until every node in reach is expanded.
+`GOAL`, the width grows by half and the search goes on from where it stood, until every node in reach is expanded.
 
 Vectors without id, null, zero ones, and those with a null or non-finite component take no part. Vectors of different
 length are never neighbours. Rows of one id are one candidate, with the nearest of its vectors; as a query the least
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessaline.llm.base import fmix, plain_unions, small_batches, table, written
+from tessaline.llm.base import fmix, plain_unions, removed, small_batches, table, written
 from tessaline.llm.topk import usable
 
 log = logging.getLogger(__name__)
@@ -38,11 +38,12 @@ log = logging.getLogger(__name__)
 NEIGHBOURS, MEET = 32, 28
 #: Vectors of a block, sets of blocks by projections (one more by a hash), rounds at most, and changed share that ends them.
 BLOCK, PROJECTIONS, ROUNDS, CHANGED = 250, 4, 8, 0.01
-#: Best nodes that a search expands at first, the recall up to which their number doubles, and queries that measure it.
-BEAM, GOAL, PROBES = 96, 0.99, 128
+#: Best nodes that a search expands at first, the recall up to which their number grows, by half each time, and queries
+#: that measure it.
+BEAM, GOAL, PROBES = 24, 0.95, 128
 SEED = 5
-#: Numbers that a step of exact distances holds at once.
-AT_ONCE = 1 << 21
+#: Numbers that a step of exact distances holds at once, and pairs that a task sends on at once, about.
+AT_ONCE, PAIRS = 1 << 21, 1 << 16
 
 
 def _squares(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -114,7 +115,7 @@ def _packed(nodes: DataFrame) -> tuple[DataFrame, type]:
 
 
 def _first(packed: DataFrame, kind: type, n: int) -> DataFrame:
-    """a, b and d: exact neighbours inside blocks."""
+    """a, b, d and new: exact neighbours inside blocks, as a written table."""
     bits = max(0, math.ceil(math.log2(max(1, n / BLOCK))))
 
     def coded(batches):
@@ -147,8 +148,11 @@ def _first(packed: DataFrame, kind: type, n: int) -> DataFrame:
         at, d = _nearest(x, NEIGHBOURS)
         return pa.table({"a": np.repeat(ids, at.shape[1]), "b": ids[at.ravel()], "d": d.ravel()})
 
-    found = parts.groupBy(*keys, "part").applyInArrow(near, "a bigint, b bigint, d double")
-    return _best(found.withColumn("new", F.lit(True)))
+    # dealt by part, too: the join's partitioning would bring a code that many vectors share into one task
+    found = parts.repartition(*keys, "part").groupBy(*keys, "part").applyInArrow(near, "a bigint, b bigint, d double")
+    out = written(_best(found.withColumn("new", F.lit(True))), "graph")
+    removed(rows)
+    return out
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -167,19 +171,26 @@ def _round(graph: DataFrame, packed: DataFrame, kind: type, nth_round: int) -> D
     member = packed.select(F.col("node").alias("member"), "h").join(worst, "member", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
     full = met.join(member, "member").groupBy("u").agg(F.collect_list(F.struct("member", "new", "worst", "h")).alias("all"))
 
-    def run(batches):
+    def rows_of(out):
         import pyarrow as pa
 
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["a", "b", "d"])
+
+    def run(batches):
         for batch in batches:
-            out = []
+            out, held = [], 0
             for row in batch.column(0):
                 v = row.values.flatten()
                 ids, new, worst = np.asarray(v[0]), np.asarray(v[1]).astype(bool), np.asarray(v[2])
                 x = np.stack([np.frombuffer(b.as_buffer(), kind) for b in v[3]]).astype(np.float64)
                 i, j, d = _nearer(x, (new[:, None] | new[None]) & (ids[:, None] != ids[None]), worst)
                 out.append((ids[i], ids[j], d))
+                held += len(d)
+                if held >= PAIRS:
+                    yield rows_of(out)
+                    out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["a", "b", "d"])
+                yield rows_of(out)
 
     return full.select("all").mapInArrow(run, "a bigint, b bigint, d double")
 
@@ -191,16 +202,19 @@ def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     small_batches(spark)  # a row of a round holds the vectors of all that meet
     packed, kind = _packed(nodes)
     n = packed.count()
-    graph = written(_first(packed, kind, n), "graph")
+    graph = _first(packed, kind, n)
     for k in range(rounds):
         found = _round(graph, packed, kind, k)
         pairs = graph.select("a", "b", "d", F.lit(False).alias("new")).unionByName(found.withColumn("new", F.lit(True)))
-        graph = written(_best(pairs), "graph")
+        after = written(_best(pairs), "graph")
+        removed(graph)
+        graph = after
         del found, pairs
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         if graph.where("new").count() <= CHANGED * n * NEIGHBOURS:
             break
+    removed(packed)
     return graph
 
 
@@ -279,13 +293,15 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam:
                 if recall < goal:
                     log.warning("every node in reach is expanded, at a recall of %.4f", recall)
                 break
-            width *= 2
+            width += -(-width // 2)
+            removed(ranked)
             continue
         reached = ranked.where("front").select("id", F.col("node").alias("a")).join(edges, "a").select("id", F.col("b").alias("node")).distinct()
         fresh = reached.join(ranked.select("id", "node"), ["id", "node"], "left_anti")
         more = scored(fresh).select("id", "node", "d", F.lit(step).alias("step"), F.lit(False).alias("done"))
-        seen = written(ranked.select("id", "node", "d", "step", (F.col("done") | F.col("front")).alias("done")).unionByName(more), "seen")
-        step += 1
+        after = written(ranked.select("id", "node", "d", "step", (F.col("done") | F.col("front")).alias("done")).unionByName(more), "seen")
+        removed(seen, ranked)
+        seen, step = after, step + 1
     top = F.row_number().over(Window.partitionBy("id").orderBy("d", "node"))
     # k nodes but the query's own have k candidates at least; ties beyond them wait for their ids
     near = seen.withColumn("nth", top)
