@@ -20,8 +20,10 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +31,6 @@ from tessaline.llm.base import small_batches, table
 
 #: Labelled rows in the fit, about.
 SAMPLE = 6000
-#: Lexicon entries at most; they go to all tasks.
-ENTRIES = 4000
 #: Letters in a learned word beginning.
 SHORTEST, LONGEST = 4, 8
 #: Least likelihood ratio of a learned entry (natural log, over distinct words of rows), the share of label 1 among
@@ -124,11 +124,13 @@ def sampled_labels(labels: DataFrame, held_out) -> DataFrame:
 
 
 def learned(rows: DataFrame) -> dict[str, float]:
-    """Lexicon entries from text and label of the sample: counts by rows, over all words of whole texts."""
+    """Lexicon entries from text and label of the sample: counts by rows, over all words of whole texts.
 
-    def count(batches):
-        import pyarrow as pa
+    An entry is in ROWS_SHARE of the sample's rows with label 1 at least, so there are no more than 1 / ROWS_SHARE times
+    the beginnings of such a row, however large the input.
+    """
 
+    def count(batches):
         seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -149,7 +151,7 @@ def learned(rows: DataFrame) -> dict[str, float]:
     pure = F.col("pos") / (F.col("pos") + F.col("neg"))
     p = F.col("pos_words") / (F.col("pos_words") + F.col("neg_words"))
     ratio = F.col("pos_words") * F.log(p / share) + F.when(p < 1, F.col("neg_words") * F.log((1 - p) / (1 - share))).otherwise(0.0)
-    top = counts.where((F.col("pos") >= max(ROWS, ROWS_SHARE * n[1])) & (pure >= PURITY)).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO).orderBy(F.col("ratio").desc(), "entry").limit(ENTRIES).collect()
+    top = counts.where((F.col("pos") >= max(ROWS, ROWS_SHARE * n[1])) & (pure >= PURITY)).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO).select("entry", "pos", "neg").collect()
     found: dict[str, float] = {}
     for r in sorted(top, key=lambda r: (len(r["entry"]), r["entry"])):
         if not any(r["entry"][:k] in found for k in range(SHORTEST, len(r["entry"]))):
@@ -183,8 +185,6 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, text_col: str = "text") ->
         matcher_parts = (dict(lexicon), START)
 
         def measure(batches):
-            import pyarrow as pa
-
             m = Matcher(*matcher_parts)
             for batch in batches:
                 got = [m.features(t or "") for t in batch.column(0).to_pylist()]
@@ -208,8 +208,6 @@ def scored(docs: DataFrame, lexicon: dict[str, float], weights: tuple[float, ...
     parts = (lexicon, weights)
 
     def run(batches):
-        import pyarrow as pa
-
         m = Matcher(*parts)
         for batch in batches:
             got = [m.score(t or "") for t in batch.column(1).to_pylist()]
@@ -238,13 +236,11 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     parts = model(spark, docs, sf_dir)
 
-    def run(batches):
-        import pyarrow as pa
-
+    # only texts go to Python; whole rows stay where they are
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = Matcher(*parts)
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            keep = [m.score(t or "")[0] < THRESHOLD for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for batch in texts:
+            yield pa.array([m.score(t or "")[0] for t in batch.to_pylist()], pa.float64())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(score("text") < THRESHOLD)
