@@ -11,7 +11,7 @@ holds each of them exactly.
 A query starts at its own node. Each step expands those of its `width` best nodes that weren't expanded yet: their
 neighbours, in both directions, are scored and join what it has seen. It goes on until none is left. Then recall is
 measured on a sample of the queries, whose true neighbours come from comparing them with every node; while it is below
-`GOAL`, the width grows by half and the search goes on from where it stood, until every node in reach is expanded.
+`GOAL`, the width doubles and the search goes on from where it stood, until every node in reach is expanded.
 
 Vectors without id, null, zero ones, and those with a null or non-finite component take no part. Vectors of different
 length are never neighbours. Rows of one id are one candidate, with the nearest of its vectors; as a query the least
@@ -34,13 +34,12 @@ from tessaline.llm.topk import usable
 
 log = logging.getLogger(__name__)
 
-#: Neighbours of a node; neighbours and reverse neighbours of a node that meet in a round, each.
-NEIGHBOURS, MEET = 32, 28
+#: Neighbours of a node; neighbours and reverse neighbours of a node that meet in a round, each; reverse edges of a node.
+NEIGHBOURS, MEET, REVERSE = 48, 32, 32
 #: Vectors of a block, sets of blocks by projections (one more by a hash), rounds at most, and changed share that ends them.
-BLOCK, PROJECTIONS, ROUNDS, CHANGED = 250, 4, 8, 0.01
-#: Best nodes that a search expands at first, the recall up to which their number grows, by half each time, and queries
-#: that measure it.
-BEAM, GOAL, PROBES = 24, 0.95, 128
+BLOCK, PROJECTIONS, ROUNDS, CHANGED = 250, 4, 12, 0.02
+#: Best nodes that a search expands at first, the recall up to which their number doubles, and queries that measure it.
+BEAM, GOAL, PROBES = 16, 0.95, 128
 SEED = 5
 #: Numbers that a step of exact distances holds at once, and pairs that a task sends on at once, about.
 AT_ONCE, PAIRS = 1 << 21, 1 << 16
@@ -250,9 +249,9 @@ def true_neighbours(nodes: DataFrame, asked: DataFrame, k: int, probes: int = PR
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, goal: float = GOAL, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id and score. queries: id, node and x."""
-    both = graph.select("a", "b").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))
-    edges = written(graph.select("a", "b").unionByName(both.withColumn("nth", nth).where(F.col("nth") <= 2 * NEIGHBOURS).select("a", "b")).distinct(), "edges")
+    back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")
+    nth = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+    edges = written(graph.select("a", "b").unionByName(back.withColumn("nth", nth).where(F.col("nth") <= REVERSE).select("a", "b")).distinct(), "edges")
     asked = written(queries.select("id", "node", F.col("x").alias("q")), "asked")
     vectors = nodes.select("node", "x")
 
@@ -282,25 +281,25 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam:
     seen = written(scored(asked.select("id", "node")).withColumn("step", F.lit(-1)).withColumn("done", F.lit(False)), "seen")
     truth = true_neighbours(nodes, asked, k, probes)
     due, width, step = truth.count(), max(beam, k + 1), 0
+    by_distance = F.row_number().over(Window.partitionBy("id").orderBy("d", "node"))
     while True:
-        nth = F.row_number().over(Window.partitionBy("id").orderBy("d", "node"))
-        ranked = written(seen.withColumn("front", ~F.col("done") & (nth <= width)), "ranked")
+        ranked = seen.withColumn("front", ~F.col("done") & (by_distance <= width))
         left = ranked.agg(F.max("front").alias("front"), F.max(~F.col("done")).alias("open"), F.count(F.lit(1)).alias("visits"), F.countDistinct("id").alias("queries"), F.sum(F.col("done").cast("long")).alias("expanded")).first()
         if not left["front"]:
-            recall = truth.join(ranked, ["id", "node"]).count() / due if due else 1.0
+            best = seen.withColumn("nth", by_distance).where(F.col("nth") <= k + 1)
+            recall = truth.join(best, ["id", "node"]).count() / due if due else 1.0
             log.info("width %d, steps %d: recall %.4f of %d true neighbours; %d queries, nodes visited %d, expanded %d", width, step, recall, due, left["queries"], left["visits"], left["expanded"] or 0)
             if recall >= goal or not left["open"]:
                 if recall < goal:
                     log.warning("every node in reach is expanded, at a recall of %.4f", recall)
                 break
-            width += -(-width // 2)
-            removed(ranked)
+            width *= 2
             continue
         reached = ranked.where("front").select("id", F.col("node").alias("a")).join(edges, "a").select("id", F.col("b").alias("node")).distinct()
-        fresh = reached.join(ranked.select("id", "node"), ["id", "node"], "left_anti")
+        fresh = reached.join(seen.select("id", "node"), ["id", "node"], "left_anti")
         more = scored(fresh).select("id", "node", "d", F.lit(step).alias("step"), F.lit(False).alias("done"))
         after = written(ranked.select("id", "node", "d", "step", (F.col("done") | F.col("front")).alias("done")).unionByName(more), "seen")
-        removed(seen, ranked)
+        removed(seen)
         seen, step = after, step + 1
     top = F.row_number().over(Window.partitionBy("id").orderBy("d", "node"))
     # k nodes but the query's own have k candidates at least; ties beyond them wait for their ids

@@ -621,6 +621,26 @@ def test_neighbour_lists_of_near_copies(spark):
     assert _lists(spark, x) >= 0.95
 
 
+def test_search_reads_a_small_share(spark, caplog):
+    """Random directions, the hardest case: the graph gives the recall, the search scores a few per cent of the nodes."""
+    n, rng = 20_000, np.random.default_rng(5)
+    x = rng.standard_normal((n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    with caplog.at_level("INFO", logger="tessaline.llm.ann"):
+        got = {}
+        for r in ann.nearest(d, F.col("id") % 100 == 0, 10).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+    queries, visits = next(r.args for r in reversed(caplog.records) if r.msg.startswith("width"))[4:6]
+    assert visits <= 0.05 * n * queries
+    hits = 0
+    for q in range(0, n, 100):
+        far = ((x - x[q]) ** 2).sum(1)
+        far[q] = np.inf
+        hits += len(set(np.argsort(far)[:10].tolist()) & got[q])
+    assert queries == n // 100 and hits >= 0.9 * 10 * queries
+
+
 def test_search_goes_on_until_its_recall(spark):
     # a ring: each node knows the next one only, so a fixed number of steps from 0 ends before the far side
     n = 60
