@@ -5,6 +5,8 @@ A tile is a row (ti, tj, m, n, data) with data column by column.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -213,6 +215,100 @@ def blocked_aca(m: int, n: int, row, col, width: int = 8, rtol: float = 1e-4, at
     return u, v
 
 
+def cholesky(a: np.ndarray) -> np.ndarray:
+    """Lower L with A = L L^T; a matrix that isn't positive definite raises ZeroDivisionError."""
+    try:
+        return np.linalg.cholesky(np.asarray(a, dtype=float))
+    except np.linalg.LinAlgError as e:
+        raise ZeroDivisionError("the matrix isn't positive definite") from e
+
+
+def cholesky_solve(l: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return solve_upper(l.T, solve_lower(l, b))
+
+
+def singular_values(a: np.ndarray) -> np.ndarray:
+    """From large to small; of a tall matrix by way of its triangular factor."""
+    a = np.asarray(a)
+    if a.shape[0] > a.shape[1]:
+        a = np.linalg.qr(a, mode="r")
+    return np.linalg.svd(a, compute_uv=False)
+
+
+def symmetric_eigen(a: np.ndarray, vectors: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Eigenvalues from small to large, and their vectors as columns, from the lower triangle."""
+    a = np.asarray(a)
+    return tuple(np.linalg.eigh(a)) if vectors else (np.linalg.eigvalsh(a), None)
+
+
+def triangular_product(t: np.ndarray, b: np.ndarray, side: str = "left", upper: bool = False, transposed: bool = False, unit: bool = False, alpha: float = 1.0) -> np.ndarray:
+    """alpha T B or alpha B T, with T or its transpose; only the named triangle of t is looked at."""
+    t = np.triu(t, 1 if unit else 0) if upper else np.tril(t, -1 if unit else 0)
+    t = t + np.eye(len(t)) if unit else t
+    t = t.T if transposed else t
+    return alpha * (t @ b if side == "left" else b @ t)
+
+
+def triangular_solve(t: np.ndarray, b: np.ndarray, side: str = "left", upper: bool = False, transposed: bool = False, unit: bool = False, alpha: float = 1.0) -> np.ndarray:
+    """X of T X = alpha B or X T = alpha B, with T or its transpose."""
+    if side == "right":
+        return triangular_solve(t, np.asarray(b).T, "left", upper, not transposed, unit, alpha).T
+    t, upper = (t.T, not upper) if transposed else (t, upper)
+    return (solve_upper if upper else solve_lower)(t, alpha * np.asarray(b, dtype=float), unit)
+
+
+def low_rank_step(c: np.ndarray, w: np.ndarray, r: np.ndarray, rtol: float = 1e-4, atol: float = 1e-10) -> tuple[np.ndarray, np.ndarray, int]:
+    """A step of blocked cross approximation: from columns C, rows R and where they cross, W, the factors U = C W^+ cut to
+    the numerical rank of W, and V = R; and that rank. U V is C W^+ R."""
+    q, t, order, rank = pivoted_qr(w, rtol, atol)
+    back = np.zeros((w.shape[1], rank))
+    if rank:
+        x, keep = column_id(w, rtol, atol)
+        core = w[:, keep]
+        back[keep] = np.eye(rank)
+        return c @ back, np.linalg.lstsq(core, r, rcond=None)[0], rank
+    return np.zeros((len(c), 0)), np.zeros((0, r.shape[1])), 0
+
+
+def appended_norm(u: np.ndarray, v: np.ndarray, size: float, c: np.ndarray, r: np.ndarray) -> tuple[float, float]:
+    """Frobenius norms of U V + C R, of which U V has norm `size`, and of C R: from triangular factors, without products of
+    full length."""
+    tri = lambda m: np.linalg.qr(m, mode="r") if m.size else np.zeros((m.shape[1],) * 2)
+    new = float(np.linalg.norm(tri(c) @ tri(r.T).T))
+    cross = float(((u.T @ c) * (v @ r.T)).sum()) if u.size and c.size else 0.0
+    return math.sqrt(max(size * size + 2 * cross + new * new, 0.0)), new
+
+
+# many blocks
+
+
+def on_blocks(rows: DataFrame, f) -> DataFrame:
+    """g, name, i, j, v of what f makes of each group's blocks; rows: g, name, i, j, v, a group being one task's.
+
+    f takes the blocks of a group by name, as arrays that start at 0, and gives arrays by name; a vector is one column.
+    """
+
+    def run(t):
+        import pyarrow as pa
+
+        names, i, j, v = np.asarray(t["name"]), np.asarray(t["i"]), np.asarray(t["j"]), np.asarray(t["v"])
+        blocks = {}
+        for name in np.unique(names):
+            at = names == name
+            block = np.zeros((i[at].max() + 1, j[at].max() + 1))
+            np.add.at(block, (i[at], j[at]), v[at])
+            blocks[str(name)] = block
+        out = []
+        for name, m in f(blocks).items():
+            m = np.asarray(m, dtype=float)
+            m = m.reshape(len(m), -1) if m.ndim else m.reshape(1, 1)
+            r, c = (x.ravel() for x in np.indices(m.shape))
+            out.append(pa.table({"g": pa.array(np.full(m.size, t["g"][0].as_py()), pa.int64()), "name": pa.array([name] * m.size, pa.string()), "i": pa.array(r), "j": pa.array(c), "v": pa.array(m.ravel())}))
+        return pa.concat_tables(out)
+
+    return rows.select("g", "name", "i", "j", "v").groupBy("g").applyInArrow(run, "g bigint, name string, i bigint, j bigint, v double")
+
+
 # tiles
 
 
@@ -283,3 +379,20 @@ def tall_qr(a: DataFrame) -> tuple[np.ndarray, DataFrame]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist())], names=["i", "x"])
 
     return r, a.select("i", "x").mapInArrow(rows, "i bigint, x array<double>")
+
+
+def tall_singular_values(a: DataFrame) -> np.ndarray:
+    """Singular values of a matrix with many rows (i, x array) and few columns: those of its triangular factor."""
+    return singular_values(tall_qr(a)[0])
+
+
+def wide_lq(a: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """L, and the columns (i, x) of Q, of a matrix with few rows and many columns, each given as a row (i, x array)."""
+    r, q = tall_qr(a)
+    return r.T, q
+
+
+def tall_column_id(a: DataFrame, rtol: float = 1e-4, atol: float = 1e-10, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """X and the chosen columns J with A ~ A[:, J] X, of a matrix with many rows (i, x array): its triangular factor has the
+    same columns to choose."""
+    return column_id(tall_qr(a)[0], rtol, atol, most)

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessaline.sources.folders import shared_folder
+
 
 def edges(a: DataFrame) -> DataFrame:
     """The graph of a matrix pattern: both directions, no loops."""
@@ -46,21 +48,25 @@ def neighbours_inside(e: DataFrame, lo: int, hi: int) -> DataFrame:
 
 
 def admissible(e: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Pairs of tiles (tile, lo, hi) that no path of up to two edges joins; never a tile with itself."""
-    of = lambda c: (F.col(c) >= F.col("lo")) & (F.col(c) < F.col("hi"))
-    near = two_hop(e)
-    near = near.join(tiles, of("src")).select(F.col("tile").alias("ti"), "dst").join(tiles, of("dst")).select("ti", F.col("tile").alias("tj")).distinct()
-    ti, tj = tiles.select(F.col("tile").alias("ti"), F.lit(1).alias("k")), tiles.select(F.col("tile").alias("tj"), F.lit(1).alias("k"))
-    return ti.join(tj, "k").where("ti <> tj").select("ti", "tj").join(near, ["ti", "tj"], "left_anti")
+    """Pairs of tiles (tile, lo, hi) that no path of up to two edges joins; never a tile with itself.
+
+    Nodes get their tile first, by an equi-join on the numbers a tile holds, so paths are made between nodes and then
+    counted between tiles. The pairs themselves are the result; each tile opens its own partners.
+    """
+    of = tiles.select("tile", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("node"))
+    near = two_hop(e).join(of.select(F.col("node").alias("src"), F.col("tile").alias("ti")), "src").join(of.select(F.col("node").alias("dst"), F.col("tile").alias("tj")), "dst").select("ti", "tj").distinct()
+    every = tiles.agg(F.collect_set("tile").alias("tiles")).first()["tiles"]
+    pairs = tiles.select(F.col("tile").alias("ti"), F.explode(F.array(*[F.lit(t) for t in sorted(every)])).alias("tj")) if every else tiles.select(F.col("tile").alias("ti"), F.col("tile").alias("tj"))
+    return pairs.where("ti <> tj").join(near, ["ti", "tj"], "left_anti")
 
 
-def levels(e: DataFrame, root: int, most: int = 10_000) -> DataFrame:
-    """node and level of all nodes that the root reaches, a join per level."""
+def levels(e: DataFrame, root: int, most: int | None = None) -> DataFrame:
+    """node and level of all nodes that the root reaches, a join per level; or of the first `most` levels, if asked for."""
     spark = e.sparkSession
     e = e.persist()
     front = spark.createDataFrame([(root, 0)], "node long, level long")
     seen, level = front, 0
-    while level < most:
+    while most is None or level < most:
         level += 1
         front = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("level", F.lit(level).cast("long"))
         front = _cut(front)
@@ -69,15 +75,14 @@ def levels(e: DataFrame, root: int, most: int = 10_000) -> DataFrame:
         seen = seen.unionByName(front)
         if level % 50 == 0:
             seen = _cut(seen)
+    e.unpersist()
     return seen
 
 
 def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessaline-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

@@ -31,7 +31,7 @@ def compressed(block: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
     if o.method in ("aca", "baca"):
         how = dense.aca if o.method == "aca" else dense.blocked_aca
         return how(*block.shape, lambda i: block[i], lambda j: block[:, j], rtol=o.rtol, atol=o.atol)
-    return dense.low_rank(block, o.rtol, o.atol, o.max_rank)
+    return dense.low_rank(np.asarray(block), o.rtol, o.atol, o.max_rank)
 
 
 def bounds(n: int, leaf: int) -> list[tuple[int, int]]:
@@ -112,17 +112,52 @@ def tile_dense(tiles: DataFrame, n: int, leaf: int) -> np.ndarray:
     return out
 
 
+#: Rows of a matrix whose tiles are put together on the driver at most; `tilefactor` factors larger ones where they are.
+MOST = 20_000
+
+
 class BLR:
     """A tile table held as a block matrix, with LU inside diagonal tiles and low-rank updates."""
 
-    def __init__(self, tiles: DataFrame, n: int, o: Options = Options()):
+    def __init__(self, tiles: DataFrame | None, n: int, o: Options = Options()):
         self.n, self.o, self.edges = n, o, bounds(n, o.leaf)
+        if tiles is not None and n > MOST:
+            raise ValueError(f"{n} rows: factor the tiles with tilefactor.factored instead, which stay distributed")
         self.t = {}
-        for r in tiles.collect():
+        for r in tiles.collect() if tiles is not None else ():
             u = np.array(r["u"]).reshape(r["m"], -1)
             self.t[r["ti"], r["tj"]] = (u, None if r["kind"] == "dense" else np.array(r["v"]).reshape(-1, r["n"]))
         self.orders: list[np.ndarray] = []
 
+    @classmethod
+    def of(cls, a: np.ndarray, o: Options = Options()) -> BLR:
+        """From a matrix: tiles off the diagonal as U V where that is smaller."""
+        b = cls(None, len(a), o)
+        for i, (r0, r1) in enumerate(b.edges):
+            for j, (c0, c1) in enumerate(b.edges):
+                tile = np.array(a[r0:r1, c0:c1], dtype=float)
+                u, v = compressed(tile, o) if i != j else (tile, None)
+                b.t[i, j] = (u, v) if v is not None and u.shape[1] * sum(tile.shape) < tile.size else (tile, None)
+        return b
+
+    def partial_factor(self, upto: int) -> BLR:
+        """Eliminates the first tiles only, up to row `upto`, which starts a tile; the others become the Schur complement."""
+        steps = next((k for k, (lo, _) in enumerate(self.edges) if lo >= upto), len(self.edges))
+        return self.factor(steps)
+
+    def trailing(self, upto: int) -> np.ndarray:
+        """What partial_factor leaves of the rows and columns from `upto` on."""
+        out = np.zeros((self.n - upto,) * 2)
+        for i, (a, b) in enumerate(self.edges):
+            for j, (c, d) in enumerate(self.edges):
+                if a >= upto and c >= upto:
+                    out[a - upto : b - upto, c - upto : d - upto] = self._full(i, j)
+        return out
+
+    @property
+    def memory(self) -> int:
+        return 8 * sum(u.size + (0 if v is None else v.size) for u, v in self.t.values())
+
     def _full(self, i: int, j: int) -> np.ndarray:
         if (i, j) not in self.t:
             (a, b), (c, d) = self.edges[i], self.edges[j]
@@ -130,9 +165,9 @@ class BLR:
         u, v = self.t[i, j]
         return u if v is None else u @ v
 
-    def factor(self) -> BLR:
+    def factor(self, steps: int | None = None) -> BLR:
         nt = len(self.edges)
-        for k in range(nt):
+        for k in range(nt if steps is None else steps):
             f, order = dense.lu(self._full(k, k))
             self.orders.append(order)
             self.t[k, k] = (f, None)
@@ -480,6 +515,11 @@ class HSS:
     def dense(self) -> np.ndarray:
         return self.multiply(np.eye(self.tree.hi))
 
+    def extract_add(self, rows: list[int], cols: list[int], b: np.ndarray) -> np.ndarray:
+        """b with A(rows, cols) added, in place."""
+        b += self.extract(rows, cols)
+        return b
+
     def get(self, i: int, j: int) -> float:
         return float(self.extract([i], [j])[0, 0])
 

@@ -116,6 +116,23 @@ def hss_from_products(product: Product, transposed: Product, f: Element, n: int,
         s, y, z = np.hstack([s, more]), np.hstack([y, product(more)]), np.hstack([z, transposed(more)])
 
 
+def hss_stable(product: Product, transposed: Product, f: Element, n: int, o: Options = Options(), d0: int = 128, more: int = 8, seed: int = 0) -> HSS:
+    """HSS from products, checked by what they don't know: `more` new vectors at a time, until the products of A and A^T
+    with them are those of the compressed matrix, within the tolerance; vectors that were used for checking are kept."""
+    rng = np.random.default_rng(seed)
+    s = rng.standard_normal((n, d0))
+    y, z = product(s), transposed(s)
+    while True:
+        h = HSS(cluster_tree(0, n, o.leaf), o)
+        _sampled_node(h.tree, 0, h.tree.levels, f, s, y, z, o)
+        new = rng.standard_normal((n, more))
+        a, b = product(new), transposed(new)
+        far = max(np.linalg.norm(a - h.multiply(new)), np.linalg.norm(b - h.multiply(new, transposed=True)))
+        if far <= max(o.rtol * max(np.linalg.norm(a), np.linalg.norm(b)), o.atol) or s.shape[1] >= min(n, o.max_rank) + more:
+            return h
+        s, y, z = np.hstack([s, new]), np.hstack([y, a]), np.hstack([z, b])
+
+
 def _sampled_node(t: Node, level: int, depth: int, f: Element, s: np.ndarray, y: np.ndarray, z: np.ndarray, o: Options):
     """Chosen rows and columns, their samples, and the random vectors as the node's bases see them."""
     if t.kids:

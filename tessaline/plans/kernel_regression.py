@@ -1,7 +1,9 @@
 """Kernel ridge regression: (K + lambda I) w = y, predictions by sums over the training points.
 
-Training points are clustered, the kernel matrix is compressed in that order and solved on the driver, so training is
-for point sets whose compressed matrix fits there; prediction is distributed and takes any number of test points.
+Training points are clustered and the kernel matrix is compressed in that order. In form blr its tiles are made from
+blocks of points, factored and solved in tasks, so no more than a tile is ever in one place. The forms dense, hss and
+hodlr are put together on the driver and raise ValueError beyond `construct.MOST` points. Prediction takes any number of
+test points.
 """
 
 from __future__ import annotations
@@ -12,8 +14,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.operators import dense, points
-from tessaline.operators.structured import HODLR, HSS, Options
+from tessaline.operators import dense, points, tilefactor
+from tessaline.operators.graph import _cut
+from tessaline.operators.structured import HODLR, HSS, Options, bounds, compressed
+from tessaline.plans import construct
 
 
 def kernel_values(name: str, x: np.ndarray, y: np.ndarray, h: float, p: int = 1) -> np.ndarray:
@@ -57,7 +61,7 @@ class Model:
 
 @dataclass(frozen=True)
 class KernelRegression:
-    """kernel: Gauss, Laplace or ANOVA; form: dense, hss or hodlr; clustering as in points.cluster."""
+    """kernel: Gauss, Laplace or ANOVA; form: blr, dense, hss or hodlr; clustering as in points.cluster."""
 
     kernel: str = "Gauss"
     h: float = 1.0
@@ -71,6 +75,10 @@ class KernelRegression:
         """train: id, x, label."""
         leaves = points.cluster(train.select("id", "x"), self.clustering, self.options.leaf)
         order = points.leaf_order(leaves)
+        if self.form == "blr":
+            return self._fit_tiles(train, _cut(order))
+        if (n := train.count()) > construct.MOST:
+            raise ValueError(f"{n} points: fit form blr instead, whose tiles stay distributed")
         rows = train.join(order, "id").orderBy("place").select("id", "x", "label").toPandas()
         x, y = np.array(rows["x"].tolist(), dtype=float), rows["label"].to_numpy(float)
         k = kernel_values(self.kernel, x, x, self.h, self.p) + self.lam * np.eye(len(x))
@@ -81,6 +89,35 @@ class KernelRegression:
         table = train.sparkSession.createDataFrame([(int(i), float(v)) for i, v in zip(rows["id"], w, strict=True)], "id long, w double")
         return Model(train.select("id", "x").join(table, "id"), self.kernel, self.h, self.p)
 
+    def _fit_tiles(self, train: DataFrame, order: DataFrame) -> Model:
+        n = order.count()
+        placed = train.join(order, "id").select("id", "x", "label", F.col("place").alias("i"))
+        tiles = _cut(kernel_tiles(placed, n, self))
+        w = tilefactor.solved(tilefactor.factored(tiles, n, self.options), placed.select("i", F.col("label").cast("double").alias("v")), n, self.options)
+        return Model(placed.join(w, "i").select("id", "x", F.col("v").alias("w")), self.kernel, self.h, self.p)
+
+
+def kernel_tiles(placed: DataFrame, n: int, how: KernelRegression) -> DataFrame:
+    """Tiles of K + lambda I for points (i: place, x), each made and compressed by the task that has its two blocks."""
+    edges = bounds(n, how.options.leaf)
+    starts = F.array(*[F.lit(lo) for lo, _ in edges])
+    t = (F.size(F.filter(starts, lambda s: s <= F.col("i"))) - 1).cast("long")
+    blocks = placed.select(t.alias("t"), "i", "x").groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("xs"))
+    every = lambda: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(edges) - 1).cast("long")))
+    rows = blocks.select(F.col("t").alias("ti"), F.col("xs").alias("a"), every().alias("tj"))
+    cols = blocks.select(F.col("t").alias("tj"), F.col("xs").alias("b"), every().alias("ti"))
+    name, h, p, lam, o = how.kernel, how.h, how.p, how.lam, how.options
+
+    def tile(r: dict) -> dict:
+        x, y = np.array(r["a"], dtype=float), np.array(r["b"], dtype=float)
+        k = kernel_values(name, x, y, h, p)
+        if r["ti"] == r["tj"]:
+            return tilefactor._row(r["ti"], r["tj"], "dense", k + lam * np.eye(len(k)), None)
+        u, v = compressed(k, o)
+        return tilefactor._row(r["ti"], r["tj"], "low", u, v) if u.shape[1] * sum(k.shape) < k.size else tilefactor._row(r["ti"], r["tj"], "dense", k, None)
+
+    return tilefactor._mapped(rows.join(cols, ["ti", "tj"]), tile)
+
 
 def accuracy(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """The share of ids whose predicted label has the sign of the true one."""

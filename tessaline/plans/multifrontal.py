@@ -7,18 +7,19 @@ the front's number and is factored by numpy. Solves sweep the levels up and down
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.operators import dense
+from tessaline.operators import dense, structured
 from tessaline.operators.graph import Adjacency, _cut, bisection_nd, edges, geometric_nd, minimum_degree, rcm
 from tessaline.operators.sparse import symmetrized
 from tessaline.plans.krylov import Operator, Outcome, Result, gmres, matrix_operator, refine
 
-FRONT = "front bigint, parent bigint, level bigint, sep array<bigint>, upd array<bigint>, f array<double>, order array<bigint>, cb array<double>"
+FRONT = "front bigint, parent bigint, level bigint, sep array<bigint>, upd array<bigint>, f array<double>, order array<bigint>, inner binary, cb array<double>"
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,10 @@ class Options:
     atol: float = 1e-10
     most: int = 5000
     krylov: str = "auto"  # auto, direct, refine, gmres
+    front: str = "dense"  # dense, blr, hss, hodlr: form of the separators' blocks
+    compress_from: int = 64  # rows of a separator from which it is compressed
+    front_rtol: float = 1e-8
+    front_leaf: int = 32
 
 
 def _chain(order: list[int], width: int) -> list[tuple[int, int, int]]:
@@ -40,6 +45,16 @@ def _chain(order: list[int], width: int) -> list[tuple[int, int, int]]:
     return [(b, min(b + width, len(order)), k + 1 if k + 1 < len(cuts) else -1) for k, b in enumerate(cuts)]
 
 
+def _compressed_front(f: np.ndarray, k: int, how: str, o: structured.Options) -> tuple[bytes, np.ndarray]:
+    """The front's separator block in a compressed form that solves, with its other blocks as U V; and what its parent gets."""
+    core = {"blr": structured.BLR, "hss": structured.HSS, "hodlr": structured.HODLR}[how].of(f[:k, :k], o).factor()
+    f12, f21 = (structured.compressed(x, o) if x.size else (x, np.zeros((0, x.shape[1]))) for x in (f[:k, k:], f[k:, :k]))
+    cb = f[k:, k:]
+    if cb.size:
+        cb = cb - f21[0] @ (f21[1] @ core.solve(f12[0]) @ f12[1])
+    return pickle.dumps((core, f12, f21)), cb
+
+
 class Solver:
     def __init__(self, o: Options = Options()):
         self.o, self.a, self.fronts = o, None, None
@@ -118,13 +133,14 @@ class Solver:
         owner = tree.select("front", F.explode("sep").alias("at"))
         # an entry belongs to the front that eliminates the first of its row and column
         entries = a.withColumn("at", F.least("i", "j")).join(owner, "at").groupBy("front").agg(F.collect_list(F.struct("i", "j", "v")).alias("entries")).persist()
-        tiny = self.o.replace_tiny
+        tiny, how, least = self.o.replace_tiny, self.o.front, self.o.compress_from
+        inside = structured.Options(rtol=self.o.front_rtol, atol=1e-14, leaf=self.o.front_leaf)
 
         def run(batches):
             import pyarrow as pa
 
             for batch in batches:
-                out = {k: [] for k in ("front", "parent", "level", "sep", "upd", "f", "order", "cb")}
+                out = {k: [] for k in ("front", "parent", "level", "sep", "upd", "f", "order", "inner", "cb")}
                 for r in batch.to_pylist():
                     sep, upd = np.array(r["sep"], np.int64), np.array(r["upd"], np.int64)
                     index, k = np.r_[sep, upd], len(sep)
@@ -133,20 +149,24 @@ class Solver:
                         f[np.searchsorted(index, e["i"]), np.searchsorted(index, e["j"])] += e["v"]
                     for c in r["kids"] or ():
                         at = np.searchsorted(index, np.array(c["upd"], np.int64))
-                        f[np.ix_(at, at)] += np.array(c["cb"]).reshape(len(at), -1)
-                    order = np.arange(k)
-                    if k:
+                        f[np.ix_(at, at)] += np.array(c["cb"]).reshape(len(at), len(at))
+                    order, inner = np.arange(k), None
+                    if how != "dense" and k >= least:
+                        inner, cb = _compressed_front(f, k, how, inside)
+                        f = np.zeros(0)
+                    elif k:
                         lu, order = dense.lu(f[:k, :k], tiny)
                         f12 = dense.solve_lower(lu, f[:k, k:][order], unit=True)
                         f21 = dense.solve_lower(lu.T, f[k:, :k].T).T
                         f[:k, :k], f[:k, k:], f[k:, :k] = lu, f12, f21
                         f[k:, k:] -= f21 @ f12
-                    cb = f[k:, k:].copy()
-                    f[k:, k:] = 0
-                    for name, v in (("front", r["front"]), ("parent", r["parent"]), ("level", r["level"]), ("sep", r["sep"]), ("upd", r["upd"]), ("f", f.ravel().tolist()), ("order", order.tolist()), ("cb", cb.ravel().tolist())):
+                    if inner is None:
+                        cb = f[k:, k:].copy()
+                        f[k:, k:] = 0
+                    for name, v in (("front", r["front"]), ("parent", r["parent"]), ("level", r["level"]), ("sep", r["sep"]), ("upd", r["upd"]), ("f", f.ravel().tolist()), ("order", order.tolist()), ("inner", inner), ("cb", cb.ravel().tolist())):
                         out[name].append(v)
                 whole, real = pa.list_(pa.int64()), pa.list_(pa.float64())
-                kinds = {"front": pa.int64(), "parent": pa.int64(), "level": pa.int64(), "sep": whole, "upd": whole, "f": real, "order": whole, "cb": real}
+                kinds = {"front": pa.int64(), "parent": pa.int64(), "level": pa.int64(), "sep": whole, "upd": whole, "f": real, "order": whole, "inner": pa.binary(), "cb": real}
                 yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], names=list(kinds))
 
         done, below = None, None
@@ -174,7 +194,7 @@ class Solver:
         """The solution of the factored system for one vector (i, v), by sweeps over the levels."""
         x = b.join(self.place, F.col("i") == F.col("old")).select(F.col("new").alias("i"), "v")
         top = max(self.level, default=-1)
-        parts = self.fronts.select("front", "parent", "level", "sep", "upd", "f", "order").persist()
+        parts = self.fronts.select("front", "parent", "level", "sep", "upd", "f", "order", "inner").persist()
         values, up = x, {}
         for lv in range(top, -1, -1):
             now = _gathered(parts.where(F.col("level") == lv), values, "sep")
@@ -190,7 +210,7 @@ class Solver:
                 mine = mine.join(seen, "front", "left")
             else:
                 mine = mine.withColumn("y", F.lit(None).cast("array<struct<i:bigint,v:double>>"))
-            got = _cut(mine.select("front", "sep", "upd", "f", "order", "x", "y").mapInArrow(_backward, "i bigint, v double"))
+            got = _cut(mine.select("front", "sep", "upd", "f", "order", "inner", "x", "y").mapInArrow(_backward, "i bigint, v double"))
             solved = got if solved is None else _cut(solved.unionByName(got))
         return solved.join(self.place, F.col("i") == F.col("new")).select(F.col("old").alias("i"), "v")
 
@@ -230,6 +250,16 @@ class Solver:
         rows = [(e - b, len(u)) for (b, e, _), u in zip(self.seps, self.upd, strict=True)]
         return spark.createDataFrame([(len(rows), sum(s * (s + 2 * u) for s, u in rows), max((s + u for s, u in rows), default=0), max(self.level, default=-1) + 1)], "fronts long, factor_nonzeros long, largest long, levels long")
 
+    def factor_bytes(self) -> DataFrame:
+        """Bytes of dense and of compressed fronts, and how many are compressed."""
+        return self.fronts.agg(F.sum(8 * F.size("f")).cast("long").alias("dense"), F.coalesce(F.sum(F.octet_length("inner")), F.lit(0)).cast("long").alias("compressed"), F.count("inner").alias("fronts"))
+
+    def subnormals(self) -> DataFrame:
+        """Zeros and numbers too small to be normal in the stored factors."""
+        from tessaline.operators.sparse import odd_values
+
+        return odd_values(self.fronts.select(F.explode("f").alias("v")))
+
     def diagonals(self) -> DataFrame:
         """i and the pivot at i, of all fronts."""
         k = F.size("sep") + F.size("upd")
@@ -274,8 +304,15 @@ def _forward(batches):
         for r in batch.to_pylist():
             sep, upd = np.array(r["sep"], np.int64), np.array(r["upd"], np.int64)
             k = len(sep)
-            f = np.array(r["f"]).reshape(k + len(upd), -1) if k + len(upd) else np.zeros((0, 0))
             x = _vector(r["x"], sep)
+            if r["inner"] is not None:
+                core, _, (u, w) = pickle.loads(r["inner"])
+                y = core.solve(x)
+                i += [sep, upd]
+                v += [y, -(u @ (w @ y)) if len(upd) else np.zeros(0)]
+                kind += [np.zeros(k, np.int32), np.ones(len(upd), np.int32)]
+                continue
+            f = np.array(r["f"]).reshape(k + len(upd), -1) if k + len(upd) else np.zeros((0, 0))
             y = dense.solve_lower(f[:k, :k], x[np.array(r["order"], np.int64)], unit=True) if k else x
             i += [sep, upd]
             v += [y, -(f[k:, :k] @ y)]
@@ -294,6 +331,11 @@ def _backward(batches):
             k = len(sep)
             if not k:
                 continue
+            if r["inner"] is not None:
+                core, (u, w), _ = pickle.loads(r["inner"])
+                i.append(sep)
+                v.append(_vector(r["x"], sep) - (core.solve(u @ (w @ _vector(r["y"], upd))) if len(upd) else 0.0))
+                continue
             f = np.array(r["f"]).reshape(k + len(upd), -1)
             y = _vector(r["x"], sep) - f[:k, k:] @ _vector(r["y"], upd)
             i.append(sep)

@@ -106,3 +106,72 @@ def write_binary(a: DataFrame, path: str, n: int) -> None:
 def dense_rows(a: DataFrame) -> DataFrame:
     """i and the row's values as an array in column order: for printing small matrices."""
     return a.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("row"))
+
+
+def write_binary_parts(a: DataFrame, path: str, n: int, rows: int = 4096) -> None:
+    """Binary CSR of a real n x n matrix, a record for each `rows` rows (first row and bytes), each encoded by its task."""
+
+    def run(t):
+        import pyarrow as pa
+
+        lo = t["part"][0].as_py() * rows
+        i, j, v = np.asarray(t["i"]) - lo, np.asarray(t["j"]), np.asarray(t["v"], dtype=np.float64)
+        return pa.table({"first": pa.array([lo], pa.int64()), "data": pa.array([encode_csr(i, j, v, n)], pa.binary())})
+
+    parts = a.select(F.expr(f"i div {rows}").alias("part"), "i", "j", F.col("v").cast("double").alias("v"))
+    parts.groupBy("part").applyInArrow(run, "first bigint, data binary").write.mode("overwrite").parquet(path)
+
+
+def read_binary_parts(spark: SparkSession, path: str) -> DataFrame:
+    """i, j, re, im of what write_binary_parts wrote."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for first, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                i, j, v, _ = decode_csr(data.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(i + first), pa.array(j), pa.array(v.real.astype(np.float64)), pa.array(v.imag.astype(np.float64))], names=["i", "j", "re", "im"])
+
+    return spark.read.parquet(path).select("first", "data").mapInArrow(run, "i bigint, j bigint, re double, im double")
+
+
+def write_dense(rows: DataFrame, path: str) -> None:
+    """Rows (i, x array) as binary: 8 bytes a number, little-endian."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            off, flat = np.asarray(batch.column(1).offsets), np.asarray(batch.column(1).values, dtype="<f8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["i", "data"])
+
+    rows.select(F.col("i").cast("long").alias("i"), F.col("x").cast("array<double>").alias("x")).mapInArrow(run, "i bigint, data binary").write.mode("overwrite").parquet(path)
+
+
+def read_dense(spark: SparkSession, path: str) -> DataFrame:
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x = [np.frombuffer(b.as_buffer(), "<f8") for b in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["i", "x"])
+
+    return spark.read.parquet(path).select("i", "data").mapInArrow(run, "i bigint, x array<double>")
+
+
+def dense_lines(rows: DataFrame) -> DataFrame:
+    """i and a line of text for each row (i, x array): numbers with seven digits."""
+    line = F.array_join(F.transform("x", lambda v: F.format_string("%.6e", v)), " ")
+    return rows.select("i", F.concat(F.lit("[ "), line, F.lit(" ]")).alias("line"))
+
+
+def sparse_lines(a: DataFrame) -> DataFrame:
+    """i and a line of text for each row that has entries: column:value in order of columns."""
+    entries = F.array_sort(F.collect_list(F.struct("j", "v")))
+    return a.groupBy("i").agg(entries.alias("e")).select("i", F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["j"].cast("string"), x["v"].cast("string"))), " ").alias("line"))
+
+
+def print_to_file(lines: DataFrame, path: str) -> None:
+    """Lines (i, line) as text, each after its number; files hold them in order of rows."""
+    lines.repartitionByRange("i").sortWithinPartitions("i").select(F.concat_ws(" ", F.col("i").cast("string"), "line").alias("value")).write.mode("overwrite").text(path)

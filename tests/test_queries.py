@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from tessaline import factor_queries as _factor_queries  # noqa: F401 - registers its queries
 from tessaline import queries as q
 
 DATA = "/root/testdata/sf0.001"
