@@ -10,7 +10,7 @@ after the shared one (positional filter). The templates' prefixes are a table of
 What passes is verified on the sets; a pair counts at its first shared word only, so it comes out once.
 
 Phrases. Words are runs of digits, letters and characters beyond ASCII; A-Z count as a-z. A regular expression finds
-the texts with a phrase, positions come from their words.
+the texts that may have a phrase, positions come from their words.
 
 Null and empty texts have no words, no labels and score 0. Repeated rows give repeated results, an empty table none.
 Extra columns are left alone.
@@ -52,6 +52,8 @@ TEMPLATES = [
 #: What separates words, in text as it is.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: The same characters by what they are: Java matches that in half the time.
+LETTER = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -91,7 +93,7 @@ def scanned(docs: DataFrame, templates, id_col: str, text_col: str, contained: f
     text = F.coalesce(F.col(text_col), F.lit(""))
     phrase = "|".join(f"{GAP}+".join(p.split()) for p in PHRASES)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = rows.withColumns({"n_words": F.regexp_count("text", F.lit(f"{WORD}+")).cast("long"), "any": F.col("text").rlike(f"(?i)(?<!{WORD})(?:{phrase})(?!{WORD})")})
+    rows = rows.withColumns({"n_words": F.regexp_count("text", F.lit(f"{LETTER}+")).cast("long"), "any": F.col("text").rlike(f"(?i)(?:{phrase})")})
     known = lambda w: w.isin(universe)
     lines = F.split("text", "\n")
     blocks = F.transform(lines, lambda t: F.array_distinct(F.filter(F.split(F.lower(t), f"{GAP}+"), known)))
