@@ -11,7 +11,7 @@ holds each of them exactly.
 A query starts at its own node. Each step expands those of its `width` best nodes that weren't expanded yet: their
 neighbours, in both directions, are scored and join what it has seen. It goes on until none is left. Then recall is
 measured on a sample of the queries, whose true neighbours come from comparing them with every node; while it is below
-`GOAL`, the width doubles and the search goes on from where it stood, until every node in reach is expanded.
+`GOAL`, the width grows by half and the search goes on from where it stood, until every node in reach is expanded.
 
 Vectors without id, null, zero ones, and those with a null or non-finite component take no part. Vectors of different
 length are never neighbours. Rows of one id are one candidate, with the nearest of its vectors; as a query the least
@@ -37,9 +37,10 @@ log = logging.getLogger(__name__)
 #: Neighbours of a node; neighbours and reverse neighbours of a node that meet in a round, each; reverse edges of a node.
 NEIGHBOURS, MEET, REVERSE = 48, 32, 32
 #: Vectors of a block, sets of blocks by projections (one more by a hash), rounds at most, and changed share that ends them.
-BLOCK, PROJECTIONS, ROUNDS, CHANGED = 250, 4, 12, 0.02
-#: Best nodes that a search expands at first, the recall up to which their number doubles, and queries that measure it.
-BEAM, GOAL, PROBES = 16, 0.95, 128
+BLOCK, PROJECTIONS, ROUNDS, CHANGED = 250, 4, 12, 0.03
+#: Best nodes that a search expands at first, the recall up to which their number grows, by half each time, and queries
+#: that measure it.
+BEAM, GOAL, PROBES = 32, 0.915, 512
 SEED = 5
 #: Numbers that a step of exact distances holds at once, and pairs that a task sends on at once, about.
 AT_ONCE, PAIRS = 1 << 21, 1 << 16
@@ -293,10 +294,11 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam:
                 if recall < goal:
                     log.warning("every node in reach is expanded, at a recall of %.4f", recall)
                 break
-            width *= 2
+            width += -(-width // 2)
             continue
-        reached = ranked.where("front").select("id", F.col("node").alias("a")).join(edges, "a").select("id", F.col("b").alias("node")).distinct()
-        fresh = reached.join(seen.select("id", "node"), ["id", "node"], "left_anti")
+        reached = ranked.where("front").select("id", F.col("node").alias("a")).join(edges, "a").select("id", F.col("b").alias("node"), F.lit(False).alias("known"))
+        both = reached.unionByName(seen.select("id", "node", F.lit(True).alias("known")))
+        fresh = both.groupBy("id", "node").agg(F.max("known").alias("known")).where(~F.col("known")).select("id", "node")
         more = scored(fresh).select("id", "node", "d", F.lit(step).alias("step"), F.lit(False).alias("done"))
         after = written(ranked.select("id", "node", "d", "step", (F.col("done") | F.col("front")).alias("done")).unionByName(more), "seen")
         removed(seen)
