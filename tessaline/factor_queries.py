@@ -438,6 +438,16 @@ for _form in ("hss", "hodlr"):
         return _table(s, construct.from_elements(f, n, form, _leaf(n)).dense(), 6)
 
 
+@query("product_matching", view("SELECT i, m - i AS j, true AS scaled FROM KX, (SELECT max(i) AS m FROM KX)"))
+def _(s, d):
+    # K with its columns turned round: its heavy diagonal is the matching, and scaled entries are 1 there and at most 1 elsewhere
+    _, f, n = kernel(s, d)
+    a = f(np.arange(n), np.arange(n))[:, ::-1]
+    col, r, c = graph.product_matching(a)
+    scaled = np.abs(r[:, None] * a * c[None])
+    return s.createDataFrame([(k, int(j), bool(abs(scaled[k, j] - 1) < 1e-9 and scaled[k].max() < 1 + 1e-9)) for k, j in enumerate(col)], "i long, j long, scaled boolean")
+
+
 @query("hss_extract", view("SELECT i, 0::BIGINT AS j, round(v, 6) + 0.0 AS v FROM K WHERE j = 0 UNION ALL SELECT i, 1::BIGINT, round(v, 6) + 0.0 FROM K WHERE j = (SELECT max(i) FROM KX)"))
 def _(s, d):
     _, f, n = kernel(s, d)

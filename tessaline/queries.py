@@ -488,21 +488,21 @@ def _(s, d):
     return graph.tree_levels(s, "tessaline_tree").select("node", F.col("level").cast("long").alias("level"))
 
 
-@query("orderings_are_permutations", "SELECT name, true AS ok FROM (VALUES ('amd'), ('geometric'), ('mmd'), ('natural'), ('nd'), ('rcm')) t(name)")
+@query("orderings", f"{_TILES} SELECT name, id AS node, 1::BIGINT AS times FROM N, (VALUES ('amd'), ('mmd'), ('natural'), ('nd'), ('rcm')) t(name)")
 def _(s, d):
-    g = graph.Adjacency.of(graph.edges(generators.poisson2d(s, 15)), 225)
-    ways = {"amd": graph.minimum_degree(g), "mmd": graph.minimum_degree(g, True), "rcm": graph.rcm(g), "nd": graph.bisection_nd(g)[0], "geometric": graph.geometric_nd((15, 15, 1))[0], "natural": list(range(225))}
-    return s.createDataFrame([(k, sorted(v) == list(range(225))) for k, v in ways.items()], "name string, ok boolean")
+    # every nation once in each order of the trade graph
+    n = _t(s, d, "nation").count()
+    g = graph.Adjacency.of(trade(s, d), n)
+    ways = {"amd": graph.minimum_degree(g), "mmd": graph.minimum_degree(g, True), "rcm": graph.rcm(g), "nd": graph.bisection_nd(g)[0], "natural": list(range(n))}
+    rows = s.createDataFrame([(k, int(u)) for k, v in ways.items() for u in v], "name string, node long")
+    return rows.groupBy("name", "node").agg(F.count(F.lit(1)).alias("times"))
 
 
-@query("matching_is_perfect", "SELECT 30::BIGINT AS pairs, true AS unit_diagonal, true AS bounded")
+@query("geometric_ordering", "SELECT s_suppkey::BIGINT AS node, 1::BIGINT AS times FROM supplier")
 def _(s, d):
-    v = generators.random(s, 30, 30, 3).toPandas()
-    m = np.zeros((30, 30))
-    m[v["i"], v["j"]] = v["v"]
-    col, r, c = graph.product_matching(m)
-    scaled = np.abs(r[:, None] * m * c[None])
-    return s.createDataFrame([(len(set(col.tolist())), bool(np.allclose(scaled[np.arange(30), col], 1)), bool(scaled.max() < 1 + 1e-9))], "pairs long, unit_diagonal boolean, bounded boolean")
+    # every point of the suppliers' grid once
+    _, _, _, sides = _grid(s, d)
+    return s.createDataFrame([(int(u),) for u in graph.geometric_nd(sides)[0]], "node long").groupBy("node").agg(F.count(F.lit(1)).alias("times"))
 
 
 @query("greedy_matching", "SELECT count(DISTINCT i)::BIGINT AS pairs, 0::BIGINT AS clashes FROM A")
@@ -607,9 +607,10 @@ def _(s, d):
     return points.knn(p, p, 6).select("id", "rank", "neighbour")
 
 
-@query("knn_recall", "SELECT true AS good")
+@query("knn_recall", "SELECT count(*)::BIGINT AS ids, count(*)::BIGINT * 16 AS neighbours, true AS good FROM P")
 def _(s, d):
-    return s.createDataFrame([(points.approximate_knn(cloud(s, d), 16, 14, goal=0.9)[1] >= 0.9,)], "good boolean")
+    found, quality = points.approximate_knn(cloud(s, d), 16, 14, goal=0.9)
+    return found.agg(F.countDistinct("id").alias("ids"), F.count(F.lit(1)).alias("neighbours")).withColumn("good", F.lit(quality >= 0.9))
 
 
 @query("knn_merge", _KNN)

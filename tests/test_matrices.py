@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessaline.operators import dense, graph, points, sparse, structured
+from tessaline.operators import dense, graph, points, sparse, structured, tilefactor
 from tessaline.plans import construct, krylov, multifrontal, options
 from tessaline.plans.krylov import Outcome
 from tessaline.sources import files, generators
@@ -277,3 +277,53 @@ def test_parts_and_tree_tops():
     t = structured.completed(structured.cluster_tree(0, 50, 9))
     depth = [lv for _, _, _, lv, _ in structured.tree_rows(t)]
     assert sum(not n.kids for n in t.walk()) == 2 ** max(depth)
+
+
+# factorizations by tiles, and kernels that the queries don't reach
+
+
+def _spd(n, seed=3):
+    x = np.random.default_rng(seed).standard_normal((n, n))
+    return x @ x.T + n * np.eye(n)
+
+
+@pytest.mark.parametrize("symmetric", [False, True])
+def test_tile_factors_solve(spark, symmetric):
+    n, o = 24, structured.Options(leaf=6, rtol=1e-12, atol=1e-14)
+    a, x = _spd(n), np.arange(n) - 7.0
+    a[:6, 18:] = a[18:, :6] = 0  # a tile that isn't there
+    factors = tilefactor.factored(structured.blr_tiles(relation(spark, a), n, o), n, o, symmetric)
+    assert np.allclose(values(tilefactor.solved(factors, vector(spark, a @ x), n, o), n), x, atol=1e-8)
+
+
+def test_triangular_kernels():
+    rng = np.random.default_rng(0)
+    t, b = rng.standard_normal((5, 5)) + 4 * np.eye(5), rng.standard_normal((5, 5))
+    for side in ("left", "right"):
+        for upper in (False, True):
+            for transposed in (False, True):
+                for unit in (False, True):
+                    m = np.triu(t, 1 if unit else 0) if upper else np.tril(t, -1 if unit else 0)
+                    m = m + np.eye(5) if unit else m
+                    m = m.T if transposed else m
+                    want = 2.0 * (m @ b if side == "left" else b @ m)
+                    assert np.allclose(dense.triangular_product(t, b, side, upper, transposed, unit, 2.0), want)
+                    assert np.allclose(dense.triangular_solve(t, want, side, upper, transposed, unit, 0.5), b)
+
+
+def test_cholesky_needs_a_positive_definite_matrix():
+    a = _spd(6)
+    assert np.allclose(dense.cholesky_solve(dense.cholesky(a), a @ np.ones(6)), 1.0)
+    with pytest.raises(ZeroDivisionError):
+        dense.cholesky(-a)
+
+
+@pytest.mark.parametrize("front", ["blr", "hss", "hodlr"])
+def test_compressed_fronts(spark, front):
+    a, x = generators.poisson2d(spark, 12, 12), np.arange(144) % 7 - 3.0
+    o = multifrontal.Options(ordering="geometric", sides=(12, 12, 1), leaf=40, front=front, compress_from=12, front_leaf=6, krylov="direct")
+    solver = multifrontal.Solver(o).set_matrix(a, 144)
+    got = solver.solve(sparse.spmv(a, vector(spark, x)))
+    assert np.allclose(values(got.x, 144), x, atol=1e-5)
+    held = solver.factor_bytes().first()
+    assert held.fronts > 0 and held.compressed > 0
