@@ -650,3 +650,56 @@ def test_search_goes_on_until_its_recall(spark):
     asked = spark.createDataFrame([(0, 0, x[0][1])], "id long, node long, x array<double>")
     got = {r.vec_id for r in ann.search(nodes, graph, asked, 20, beam=2).collect()}
     assert got == {k % n for k in range(-10, 11)} - {0}
+
+
+def _found(spark, rows, k=10, every=100):
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.nearest(d, F.col("id") % every == 0, k).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    return {q: [i for _, i in sorted(r)] for q, r in got.items()}
+
+
+def test_search_moves_answers_of_shards_and_not_visits(spark, monkeypatch):
+    n, rng, rows = 3000, np.random.default_rng(11), 0
+    x = rng.standard_normal((n, 16))
+    kept = ann.written
+
+    def counted(df, kind="cut"):
+        nonlocal rows
+        out = kept(df, kind)
+        rows += out.count()
+        return out
+
+    monkeypatch.setattr(ann, "SMALL", 1000, raising=False)
+    monkeypatch.setattr(ann, "written", counted)
+    got = _found(spark, enumerate(x))
+    hits = 0
+    for q in range(0, n, 100):
+        far = ((x - x[q]) ** 2).sum(1)
+        far[q] = np.inf
+        hits += len(set(np.argsort(far)[:10].tolist()) & set(got[q]))
+        assert len(got[q]) == len(set(got[q]) - {q}) == 10
+    assert hits >= 0.9 * 10 * 30
+    # nodes, queries, and from each of three shards what each query and each of the sample found
+    assert rows <= n + 30 + 3 * 2 * 30 * 20
+
+
+def test_near_copies_in_all_shards_are_found(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((4000, 16))
+    x[7:4000:133] = x[0] + 1e-7 * rng.standard_normal((len(x[7:4000:133]), 16))
+    monkeypatch.setattr(ann, "SMALL", 1000, raising=False)
+    got = _found(spark, enumerate(x))
+    assert len(set(got[0]) & set(range(7, 4000, 133))) == 10
+
+
+def test_an_id_with_many_vectors_still_has_all_its_neighbours(spark):
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((1500, 8))
+    own = [(0, x[0] + 1e-3 * rng.standard_normal(8)) for _ in range(60)]
+    first = min((x[0].tolist(), *(v.tolist() for _, v in own)))
+    got = _found(spark, [*enumerate(x), *own], every=2000)
+    far = ((x - np.array(first)) ** 2).sum(1)
+    far[0] = np.inf
+    assert len(got[0]) == 10 and len(set(np.argsort(far)[:10].tolist()) & set(got[0])) >= 9
