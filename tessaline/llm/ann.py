@@ -12,7 +12,7 @@ Products only rule pairs out, beyond their rounding error; what they leave is me
 A query starts at its own node, at nodes with signs like its own, and at a few others. Each step expands the best of its
 `width` best nodes that weren't expanded yet: their neighbours, in both directions, are scored. It goes on until none is
 left. A shard measures recall on a sample of the queries, whose true neighbours come from comparing them with every
-node; while it is below the goal, the width grows by half, and once `WHOLE` times the width is the shard, all of it is scored.
+node; while it is below the goal, the width grows by a quarter, and once `WHOLE` times the width is the shard, all of it is scored.
 Where there are several shards, recall of the merged answers is measured, too: below `GOAL` the shards' goal is raised.
 
 Vectors without id, null, zero ones, and those with a null or non-finite component take no part. Vectors of different
@@ -41,8 +41,8 @@ NEIGHBOURS, MEET, REVERSE = 48, 32, 32
 #: Nodes of a block, sets of blocks, signs that order one, rounds at most, and changed share that ends them.
 BLOCK, TREES, SIGNS, ROUNDS, CHANGED = 1024, 4, 30, 12, 0.02
 #: Best nodes that a search keeps at first and expands in a step, nodes it starts at besides, a half of them by their
-#: signs; the share of a shard, inverse, at which all is scored; the recall up to which the nodes it keeps grow, by half
-#: each time, and queries that measure it.
+#: signs; the share of a shard, inverse, at which all is scored; the recall up to which the nodes it keeps grow, by a
+#: quarter each time, and queries that measure it.
 BEAM, EXPAND, STARTS, WHOLE, GOAL, PROBES = 8, 4, 64, 16, 0.915, 512
 SEED = 5
 #: Numbers that a step holds at once, about.
@@ -57,7 +57,8 @@ def _squares(x: np.ndarray, i: np.ndarray, z: np.ndarray, j: np.ndarray) -> np.n
     out = np.empty(len(i))
     with np.errstate(over="ignore"):
         for lo in range(0, len(i), step):
-            diff = x[i[lo : lo + step]] - z[j[lo : lo + step]]
+            diff = x.take(i[lo : lo + step], axis=0)
+            diff -= z.take(j[lo : lo + step], axis=0)
             out[lo : lo + step] = np.einsum("ij,ij->i", diff, diff)
     return out
 
@@ -162,9 +163,11 @@ def _nearer(x: np.ndarray, y: np.ndarray, scale: float, at: np.ndarray, new: np.
             far &= np.isfinite(d)
     may = new[:, :, None] | new[:, None]
     may &= ~far
-    may[:, np.arange(at.shape[1]), np.arange(at.shape[1])] = False
-    c, i, j = np.nonzero(may)
-    a, b = at[c, i], at[c, j]
+    m = at.shape[1]
+    may[:, np.arange(m), np.arange(m)] = False
+    pairs = np.flatnonzero(may)
+    row = pairs // m
+    a, b = at.ravel()[row], at.ravel()[row // m * m + (pairs - row * m)]
     real = (a >= 0) & (b >= 0) & (a != b)
     a, b = a[real], b[real]
     d = _squares(x, a, x, b)
@@ -196,7 +199,7 @@ def _descent(x: np.ndarray, y: np.ndarray, scale: float) -> np.ndarray:
     n, lists = len(x), _first(x, y)
     for k in range(ROUNDS if n > BLOCK else 0):  # one block has all neighbours
         at, new = _meetings(lists, k)
-        worst, found, held, step = None, [], 0, max(1, AT_ONCE // (4 * MEET * MEET))
+        worst, found, held, step = None, [], 0, max(1, AT_ONCE // (32 * MEET * MEET))
         for lo in range(0, n, step):
             if worst is None:
                 worst = np.where(lists[:, -1] != NONE, (lists[:, -1] & UPPER).view(np.float64), np.inf)
@@ -256,7 +259,8 @@ class _Shard:
         seen, beam, visits = np.zeros(m * n, bool), np.full((m, width), NONE), np.zeros(m, np.int64)
         flat = (np.arange(m)[:, None] * n + starts).ravel()
         while True:
-            flat = np.unique(flat[~seen[flat]])
+            flat = np.sort(flat[~seen[flat]])  # np.unique hashes, which takes much longer
+            flat = flat[np.diff(flat, prepend=-1) > 0]
             seen[flat] = True
             who, at = np.divmod(flat, n)
             count = np.bincount(who, minlength=m)
@@ -360,7 +364,7 @@ def neighbour_graph(nodes: DataFrame) -> DataFrame:
 
 
 def _answers(parts: DataFrame, k: int, most: int, beam: int, goal: float, probes: int) -> DataFrame:
-    """id, node, d, true (found by comparing with every node), visits and width, of each shard.
+    """id, node, d, sure (found by comparing with every node), visits and width, of each shard.
 
     parts: dim, m, shard, asked (a query and not a node), node (a query's own), id (of queries; the only one of nodes), x
     and near (nodes next to it; null: to be found).
@@ -369,7 +373,7 @@ def _answers(parts: DataFrame, k: int, most: int, beam: int, goal: float, probes
     def run(key, t):
         import pyarrow as pa
 
-        m, names = key[2].as_py(), ["id", "node", "d", "true", "visits", "width"]
+        m, names = key[2].as_py(), ["id", "node", "d", "sure", "visits", "width"]
         schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()], strict=True)))
         t = t.sort_by([("asked", "ascending"), ("node", "ascending"), ("id", "ascending")])
         n = t.num_rows - int(np.asarray(t["asked"]).sum())
@@ -423,20 +427,20 @@ def _answers(parts: DataFrame, k: int, most: int, beam: int, goal: float, probes
             hits = sum(len(np.intersect1d(a[:few], b)) for (a, _), (b, _) in zip(truth, got, strict=True))
             if hits >= goal * sum(len(a[:few]) for a, _ in truth):
                 break
-            width += -(-width // 2)
+            width += -(-width // 4)
         width = width if WHOLE * width < n else n
         got, visits = found(np.arange(len(q)), width)
         out = []
-        for rows, answers, true in ((np.arange(len(q)), got, False), (sample, truth, True)):
+        for rows, answers, sure in ((np.arange(len(q)), got, False), (sample, truth, True)):
             count = np.array([len(a) for a, _ in answers])
             first = np.zeros(count.sum(), np.int64)
-            if not true:
+            if not sure:
                 first[(np.cumsum(count) - count)[count > 0]] = visits[count > 0]
             place, d = (np.concatenate([a[c] for a in answers]) for c in range(2))
-            out.append(pa.table([np.repeat(asked[rows], count), ids[place], d, np.full(len(d), true), first, np.full(len(d), width)], schema=schema))
+            out.append(pa.table([np.repeat(asked[rows], count), ids[place], d, np.full(len(d), sure), first, np.full(len(d), width)], schema=schema))
         return pa.concat_tables(out)
 
-    return parts.groupBy("dim", "shard", "m").applyInArrow(run, "id bigint, node bigint, d double, true boolean, visits bigint, width bigint")
+    return parts.groupBy("dim", "shard", "m").applyInArrow(run, "id bigint, node bigint, d double, sure boolean, visits bigint, width bigint")
 
 
 def search(nodes: DataFrame, graph: DataFrame | None, queries: DataFrame, k: int, beam: int = BEAM, goal: float = GOAL, probes: int = PROBES) -> DataFrame:
@@ -457,20 +461,20 @@ def search(nodes: DataFrame, graph: DataFrame | None, queries: DataFrame, k: int
     there = asked.join(counts, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     keys = ["dim", "m", "shard"]
     parts = placed.select(*keys, F.lit(False).alias("asked"), "node", F.when(F.size("ids") == 1, F.element_at("ids", 1)).alias("id"), x, "near").unionByName(there.select(*keys, F.lit(True).alias("asked"), "node", "id", x, F.lit(None).cast("array<bigint>").alias("near")))
-    wanted, nearest_of = goal, Window.partitionBy("id", "true").orderBy("d")
+    wanted, nearest_of = goal, Window.partitionBy("id", "sure").orderBy("d")
     while True:
         found = written(_answers(parts, k, most, beam, goal, probes), "found")
-        best = found.withColumn("nth", F.rank().over(nearest_of)).where(F.col("nth") <= k).select("id", "node", "d", "true")
+        best = found.withColumn("nth", F.rank().over(nearest_of)).where(F.col("nth") <= k).select("id", "node", "d", "sure")
         said = found.agg(F.max("width"), F.countDistinct("id"), F.sum("visits")).first()
-        both = best.groupBy("id", "node").agg(F.max("true").alias("true"), F.max(~F.col("true")).alias("got"))
-        due, hits = both.where("true").agg(F.count(F.lit(1)), F.count(F.when(F.col("got"), 1))).first()
+        both = best.groupBy("id", "node").agg(F.max("sure").alias("sure"), F.max(~F.col("sure")).alias("got"))
+        due, hits = both.where("sure").agg(F.count(F.lit(1)), F.count(F.when(F.col("got"), 1))).first()
         recall = hits / due if due else 1.0
         log.info("width %d, goal of a shard %.4f: recall %.4f of %d true neighbours; %d queries, nodes visited %d", said[0] or 0, goal, recall, due, said[1], said[2] or 0)
         if recall >= wanted or goal > 1:
             break
         goal = 1 - (1 - goal) / 2 if goal < 0.99 else 2.0  # no recall reaches 2: all is scored
         removed(found)
-    near = best.where(~F.col("true")).select("id", "node", "d")
+    near = best.where(~F.col("sure")).select("id", "node", "d")
     full = near.join(nodes.select("node", "ids"), "node").select("id", "d", F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("id"))
     full = full.groupBy("id", "vec_id").agg(F.min("d").alias("d"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "vec_id"))

@@ -703,3 +703,30 @@ def test_an_id_with_many_vectors_still_has_all_its_neighbours(spark):
     far = ((x - np.array(first)) ** 2).sum(1)
     far[0] = np.inf
     assert len(got[0]) == 10 and len(set(np.argsort(far)[:10].tolist()) & set(got[0])) >= 9
+
+
+def test_recall_is_measured_on_the_sample_and_can_be_driven_to_all(spark, monkeypatch, caplog):
+    n, rng = 2500, np.random.default_rng(14)
+    x = rng.standard_normal((n, 24))
+    monkeypatch.setattr(ann, "SMALL", 1000)
+    nodes = ann.nodes_of(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>"), 10)
+    asked = nodes.where("node % 50 = 0").select(F.col("node").alias("id"), "node", "x")
+    with caplog.at_level("INFO", logger="tessaline.llm.ann"):
+        got = {}
+        # no recall is 1.1, so all is scored
+        for r in ann.search(nodes, None, asked, 10, goal=1.1, probes=20).collect():
+            got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    recall, due, queries, visits = next(r.args for r in reversed(caplog.records) if r.msg.startswith("width"))[2:6]
+    assert (recall, due, queries, visits) == (1.0, 20 * 10, 50, 50 * n)
+    for q in range(0, n, 50):
+        far = ((x - x[q]) ** 2).sum(1)
+        far[q] = np.inf
+        assert [got[q][k] for k in range(1, 11)] == np.argsort(far)[:10].tolist()
+
+
+def test_a_walk_scores_a_place_once(spark):
+    x = np.random.default_rng(15).standard_normal((400, 5))
+    near = np.argsort(((x[:, None] - x[None]) ** 2).sum(2), axis=1)[:, 1:9]
+    shard = ann._Shard(x, x.astype(np.float32), ann._edges(near))
+    keys, visits = shard.walk(x[:7], np.tile([3, 3, 9], (7, 1)), 400)
+    assert all(len(set(ann._places(row[row != ann.NONE]).tolist())) == v for row, v in zip(keys, visits.tolist(), strict=True)) and (visits <= 400).all()
