@@ -31,6 +31,8 @@ from tessaline.llm.base import WordHasher, plain_unions, rolled, small_batches,
 #: Words of a bucket, documents and words of a group, about.
 BUCKET_WORDS, GROUP_DOCS, GROUP_WORDS = 2_000_000, 1_000, 1_000_000
 LEAST_BUCKETS, LEAST_GROUPS = 64, 64
+#: Bytes of text whose windows a task hashes at a time, about; a longer text is worked as a whole.
+PORTION = 1 << 22
 BITS = 1 << 23
 SEEDS, BASE = (11, 12), 0xD6E8FEB86659FD93
 LAST = 2**63 - 1
@@ -124,6 +126,16 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
+def _portions(batch, column: int):
+    """Slices of a batch whose texts have about PORTION bytes: a batch has a number of rows, however long their texts."""
+    import pyarrow.compute as pc
+
+    n = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    cut = np.flatnonzero(np.r_[True, np.diff((np.cumsum(n) - n) // PORTION) != 0])
+    for a, b in zip(cut, [*cut[1:], len(n)], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def _windows(batch_text, n_words: int, hasher: WordHasher, needs: int):
     """Hash, document and position of all windows of n_words in documents of `needs` words or more."""
     data, offsets = text_buffers(batch_text)
@@ -157,7 +169,7 @@ def _probed(words: int, buckets: int, groups: int):
         import pyarrow as pa
 
         hasher = WordHasher(SEEDS[0])
-        for batch in batches:
+        for batch in (p for b in batches for p in _portions(b, 1)):
             rids = np.asarray(batch.column(0)).astype(np.int64)
             h, doc, pos = _windows(batch.column(1), half, hasher, words)
             if not len(h):
@@ -368,18 +380,23 @@ def cut_documents(docs: DataFrame, words: int = 50, with_text: bool = True) -> D
     return near.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(_cut(words, with_text), "id bigint, rid bigint, removed bigint, kept string")
 
 
-def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    docs = _keyed(table(spark, sf_dir, "documents"))
+def _digests(batches):
+    """Number of words and SHA-256 of each whole text; the words of one text are held at a time."""
+    import pyarrow as pa
 
-    def digest(batches):
-        import pyarrow as pa
+    for batch in batches:
+        n_words, sha = [], []
+        for t in batch.column(2).cast(pa.binary()):
+            w = t.as_buffer().to_pybytes().split()
+            n_words.append(len(w))
+            sha.append(hashlib.sha256(b" ".join(w)).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(sha, pa.string())], names=["id", "rid", "n_words", "sha"])
 
-        for batch in batches:
-            split = [t.as_buffer().to_pybytes().split() for t in batch.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) for w in split], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in split], pa.string())], names=["id", "rid", "n_words", "sha"])
 
-    rows = docs.select("id", "rid", "text").mapInArrow(digest, "id bigint, rid bigint, n_words bigint, sha string")
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = _keyed(table(spark, sf_dir, "documents"))
+    rows = docs.select("id", "rid", "text").mapInArrow(_digests, "id bigint, rid bigint, n_words bigint, sha string")
     cut = written(cut_documents(docs, 50, with_text=False), "cut")
     out = rows.join(cut, ["id", "rid"], "left")
     return out.select(F.when(F.col("id") < LAST, F.col("id")).alias("doc_id"), "n_words", F.coalesce("removed", F.lit(0)).alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))

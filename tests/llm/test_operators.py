@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,6 +341,39 @@ def test_substrings_random(spark, seed):
     assert got == want and want
 
 
+def peak(run, batch) -> int:
+    """Bytes that a mapped function holds at most over one batch."""
+    tracemalloc.start()
+    for _ in run(iter([batch])):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most
+
+
+@pytest.mark.parametrize("step, columns", [(lambda: substrings._probed(50, 64, 64), ["rid", "text"]), (lambda: substrings._digests, ["id", "rid", "text"])], ids=["windows", "digests"])
+def test_substrings_memory_follows_portions(step, columns):
+    """A batch has 512 rows however long they are: what a task holds must not grow with the length of its texts."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{x:06d}" for x in rng.integers(0, 10**6, 10_000)) for _ in range(240)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(240), pa.int64()), "rid": pa.array(range(240), pa.int64()), "text": pa.array(texts)})
+    run, batch = step(), batch.select(columns)
+    assert peak(run, batch) < 1.5 * peak(run, batch.slice(0, 60))
+
+
+def test_substrings_across_portions(spark, tmp_path):
+    """A batch whose texts are worked in several portions, passages shared within and across them."""
+    rng = random.Random(6)
+    long = lambda n: " ".join("x" * 190 + str(rng.randrange(10**6)) for _ in range(n))
+    pool = [long(70) for _ in range(8)]
+    documents = [(k, f"{long(rng.randrange(300))} {rng.choice(pool)} {long(rng.randrange(300))}" if k % 7 else None) for k in range(100)]
+    assert sum(len(t or "") for _, t in documents) > 1.2 * substrings.PORTION
+    spark.createDataFrame(documents, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_removed, r.kept_sha256, r.n_words) for r in substrings.op5_substrings(spark, str(tmp_path)).collect())
+    want = [(k, n, hashlib.sha256(kept.encode()).hexdigest(), len(split(t))) for (k, n, kept), (_, t) in zip(cut(documents, 50), documents, strict=True)]
+    assert got == want and sum(n > 0 for _, n, _, _ in want) > 50
+
+
 def test_without_repeats_keeps_columns(spark, docs, none):
     out = substrings.without_repeats(docs)
     assert out.columns == docs.columns
