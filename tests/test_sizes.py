@@ -10,7 +10,10 @@ from tessaline import queries as q
 
 DATA = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-PAIRS = {"dist_euclid": lambda d: np.sqrt((d * d).sum(-1))}
+PAIRS = {
+    "dist_euclid": lambda d: np.sqrt((d * d).sum(-1)),
+    "dist_l1": lambda d: np.abs(d).sum(-1),
+}
 
 
 @tables
