@@ -13,6 +13,7 @@ tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 PAIRS = {
     "dist_euclid": lambda d: np.sqrt((d * d).sum(-1)),
     "dist_l1": lambda d: np.abs(d).sum(-1),
+    "kernel_anova_p2": lambda d: ((t := np.exp(-d * d / 2)).sum(-1) ** 2 - (t * t).sum(-1)) / 2,
 }
 
 
