@@ -14,6 +14,7 @@ PAIRS = {
     "dist_euclid": lambda d: np.sqrt((d * d).sum(-1)),
     "dist_l1": lambda d: np.abs(d).sum(-1),
     "kernel_anova_p2": lambda d: ((t := np.exp(-d * d / 2)).sum(-1) ** 2 - (t * t).sum(-1)) / 2,
+    "kernel_laplace": lambda d: np.exp(-np.abs(d).sum(-1) / 5.0),
 }
 
 
