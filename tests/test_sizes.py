@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessaline import factor_queries
 from tessaline import queries as q
+from tessaline.operators import structured
 
 DATA = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -26,3 +28,17 @@ def test_no_pair_is_a_row_with_its_points(spark, name):
     p = {r["id"]: np.array(r["x"]) for r in q.cloud(spark, DATA).collect()}
     rows = got.orderBy(F.xxhash64("id", "other")).limit(2000).collect()
     assert all(abs(r["v"] - PAIRS[name](p[r["id"]] - p[r["other"]])) < 1e-6 for r in rows)
+
+
+WRITTEN = ["hss_dense", "hodlr_dense", "hss_shift", "hss_table", "blr_partial_factor"]
+
+
+@tables
+@pytest.mark.parametrize("name", WRITTEN)
+def test_no_value_of_the_matrix_is_a_row_on_the_driver(spark, name, monkeypatch):
+    monkeypatch.setattr(factor_queries, "_table", None)
+    n = q.suppliers(spark, DATA).count()
+    first = structured.bounds(n, max(4, n // 4))[0][1] if name == "blr_partial_factor" else 0
+    monkeypatch.setattr(factor_queries, "_HELD", 3 * n)
+    got = q.QUERIES[name](spark, DATA)
+    assert got.agg(F.countDistinct("i", "j")).first()[0] == (n - first) ** 2 == got.count()
