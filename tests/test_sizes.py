@@ -30,7 +30,7 @@ def test_no_pair_is_a_row_with_its_points(spark, name):
     assert all(abs(r["v"] - PAIRS[name](p[r["id"]] - p[r["other"]])) < 1e-6 for r in rows)
 
 
-WRITTEN = ["hss_dense", "hodlr_dense", "hss_shift"]
+WRITTEN = ["hss_dense", "hodlr_dense", "hss_shift", "hss_table"]
 
 
 @tables
