@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessaline import factor_queries
 from tessaline import queries as q
-from tessaline.operators import structured
+from tessaline.operators import points, structured
 
 DATA = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -42,3 +42,10 @@ def test_no_value_of_the_matrix_is_a_row_on_the_driver(spark, name, monkeypatch)
     monkeypatch.setattr(factor_queries, "_HELD", 3 * n)
     got = q.QUERIES[name](spark, DATA)
     assert got.agg(F.countDistinct("i", "j")).first()[0] == (n - first) ** 2 == got.count()
+
+
+def test_plans_do_not_grow_with_trees_and_levels(spark):
+    p = spark.range(64).select("id", F.array(F.sin("id"), F.cos("id")).alias("x"))
+    found, _ = points.approximate_knn(p, 2, 2, goal=2.0)
+    assert "Window" not in found._jdf.queryExecution().logical().toString()
+    assert found.count() == 128
