@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessaline import factor_queries
 from tessaline import queries as q
-from tessaline.operators import points, structured
+from tessaline.operators import dense, points, sparse, structured
 
 DATA = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -49,3 +49,19 @@ def test_plans_do_not_grow_with_trees_and_levels(spark):
     found, _ = points.approximate_knn(p, 2, 2, goal=2.0)
     assert "Window" not in found._jdf.queryExecution().logical().toString()
     assert found.count() == 128
+
+
+def test_tiles_of_a_product_go_to_one_task_once(spark):
+    a = spark.range(200).select((F.col("id") % 17).alias("i"), (F.col("id") * 7 % 23).alias("j"), (F.col("id") % 5 + 1).cast("double").alias("v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    got = dense.tile_product(dense.tiles(a, 2), dense.tiles(sparse.transpose(a), 2), 2)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    m = np.zeros((17, 23))
+    for r in a.collect():
+        m[r["i"], r["j"]] = r["v"]
+    found = {(r["i"], r["j"]): r["v"] for r in got.collect()}
+    assert found == {(int(i), int(j)): (m @ m.T)[i, j] for i, j in np.argwhere(m @ m.T)}
+
+
+def test_neighbours_reach_the_goal_where_trees_do_not(spark):
+    p = spark.range(400).select("id", F.array(*[F.sin(F.col("id") * (k * k + 0.37)) for k in range(12)]).alias("x"))
+    assert points.approximate_knn(p, 3, 1, goal=1.0)[1] == 1.0
