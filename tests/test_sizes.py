@@ -65,3 +65,14 @@ def test_tiles_of_a_product_go_to_one_task_once(spark):
 def test_neighbours_reach_the_goal_where_trees_do_not(spark):
     p = spark.range(400).select("id", F.array(*[F.sin(F.col("id") * (k * k + 0.37)) for k in range(12)]).alias("x"))
     assert points.approximate_knn(p, 3, 1, goal=1.0)[1] == 1.0
+
+
+@pytest.mark.parametrize("how", ["2means", "cobble", "kdtree", "natural", "pca"])
+def test_clusters_of_a_small_node_are_those_of_jobs_and_take_few(spark, how, monkeypatch):
+    p = spark.range(300).select("id", F.array(*[F.sin(F.col("id") * (k * k + 0.37)) * (k + 1) for k in range(5)]).alias("x"))
+    cuts, cut = [], points._cut
+    monkeypatch.setattr(points, "_cut", lambda df: cuts.append(1) or cut(df))
+    one = {r["id"]: r["node"] for r in points.cluster(p, how, 20).collect()}
+    assert len(one) == 300 and len(cuts) == 1
+    monkeypatch.setattr(points, "WHOLE", 100)
+    assert {r["id"]: r["node"] for r in points.cluster(p, how, 20).collect()} == one
