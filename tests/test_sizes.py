@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessaline import factor_queries
 from tessaline import queries as q
 from tessaline.operators import dense, points, sparse, structured
+from tessaline.plans import multifrontal
 
 DATA = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -76,3 +77,23 @@ def test_clusters_of_a_small_node_are_those_of_jobs_and_take_few(spark, how, mon
     assert len(one) == 300 and len(cuts) == 1
     monkeypatch.setattr(points, "WHOLE", 100)
     assert {r["id"]: r["node"] for r in points.cluster(p, how, 20).collect()} == one
+
+
+@pytest.mark.parametrize("leaf,at_most", [(48, 8), (30, 38)])
+def test_a_large_front_is_factored_by_its_connected_parts(spark, monkeypatch, leaf, at_most):
+    # blocks of 8 rows, and rows 0 and 47 that join two of them
+    rng = np.random.default_rng(3)
+    m = np.kron(np.eye(6), np.ones((8, 8))) * rng.random((48, 48)) + 9 * np.eye(48)
+    x, zeros = rng.random(48), []
+    m[3, 41] = m[41, 3] = 0.5 if leaf == 30 else 0.0
+    i, j = np.nonzero(m)
+    a = spark.createDataFrame([(int(r), int(c), float(m[r, c])) for r, c in zip(i, j)], "i long, j long, v double")
+    b = spark.createDataFrame([(k, float(v)) for k, v in enumerate(m @ x)], "i long, v double")
+    for split in (1 << 20, 10):
+        monkeypatch.setattr(multifrontal, "SPLIT", split)
+        solver = multifrontal.Solver(multifrontal.Options(ordering="natural", leaf=leaf, krylov="direct")).set_matrix(a, 48)
+        got = np.array([r["v"] for r in solver.solve(b).x.orderBy("i").collect()])
+        assert np.abs(got - x).max() < 1e-9
+        zeros.append(solver.subnormals().first())
+    assert zeros[0]["zeros"] == zeros[1]["zeros"]
+    assert solver.fronts.agg(F.max(F.size("sep") + F.size("upd"))).first()[0] <= at_most
