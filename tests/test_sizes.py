@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tessaline import factor_queries
 from tessaline import queries as q
-from tessaline.operators import dense, points, sparse, structured
-from tessaline.plans import multifrontal
+from tessaline.operators import dense, points, sparse, structured, tilefactor
+from tessaline.plans import kernel_regression, multifrontal
 
 DATA = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -97,3 +97,19 @@ def test_a_large_front_is_factored_by_its_connected_parts(spark, monkeypatch, le
         zeros.append(solver.subnormals().first())
     assert zeros[0]["zeros"] == zeros[1]["zeros"]
     assert solver.fronts.agg(F.max(F.size("sep") + F.size("upd"))).first()[0] <= at_most
+
+
+def test_many_small_tiles_are_factored_together(spark, monkeypatch):
+    steps, cut = [], tilefactor._cut
+    monkeypatch.setattr(tilefactor, "_cut", lambda df: steps.append(1) or cut(df))
+    monkeypatch.setattr(tilefactor, "STEPS", 4)
+    n = 90
+    train = spark.range(n).select("id", F.array(F.sin("id"), F.cos(F.col("id") * 0.7)).alias("x"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(-1.0).alias("label"))
+    how = kernel_regression.KernelRegression(h=0.5, lam=0.5, form="blr", options=structured.Options(rtol=1e-10, leaf=4))
+    model = how.fit(train)
+    w = {r["id"]: r["w"] for r in model.weights.collect()}
+    rows = train.orderBy("id").collect()
+    x, y = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows])
+    exact = np.linalg.solve(kernel_regression.kernel_values("Gauss", x, x, 0.5) + 0.5 * np.eye(n), y)
+    assert np.abs(np.array([w[k] for k in range(n)]) - exact).max() < 1e-7
+    assert len(steps) < 30
