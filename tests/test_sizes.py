@@ -113,3 +113,25 @@ def test_many_small_tiles_are_factored_together(spark, monkeypatch):
     exact = np.linalg.solve(kernel_regression.kernel_values("Gauss", x, x, 0.5) + 0.5 * np.eye(n), y)
     assert np.abs(np.array([w[k] for k in range(n)]) - exact).max() < 1e-7
     assert len(steps) < 30
+
+
+@tables
+@pytest.mark.parametrize("name", ["hss_from_products", "hss_stable"])
+def test_products_evaluate_no_block_on_the_driver(spark, name, monkeypatch):
+    sizes = []
+
+    def kernel(s, d):
+        x = np.sort(np.random.default_rng(1).random(400)) * 1000.0
+
+        def f(rows, cols):
+            sizes.append(len(rows) * len(cols))
+            at = x[rows][:, None] - x[cols][None]
+            return (np.asarray(rows)[:, None] == np.asarray(cols)[None]) * 3.0 + 1.0 / (1.0 + np.abs(at) / 500.0)
+
+        return x, f, len(x)
+
+    monkeypatch.setattr(factor_queries, "kernel", kernel)
+    got = np.array([r["v"] for r in q.QUERIES[name](spark, DATA).orderBy("i").collect()])
+    assert max(sizes, default=0) < 100 * 100  # a leaf has as many
+    x, f, n = kernel(spark, DATA)
+    assert np.abs(got - f(np.arange(n), np.arange(n)) @ x).max() < 1e-2
