@@ -135,3 +135,11 @@ def test_products_evaluate_no_block_on_the_driver(spark, name, monkeypatch):
     assert max(sizes, default=0) < 100 * 100  # a leaf has as many
     x, f, n = kernel(spark, DATA)
     assert np.abs(got - f(np.arange(n), np.arange(n)) @ x).max() < 1e-2
+
+
+def test_estimated_sizes_do_not_grow_with_the_steps(spark):
+    n, o = 24, structured.Options(leaf=4, rtol=1e-12)
+    a = spark.range(n * n).select(F.expr(f"id div {n}").alias("i"), (F.col("id") % n).alias("j"), F.when(F.expr(f"id div {n} = id % {n}"), 30.0).otherwise(F.cos("id")).alias("v"))
+    got = tilefactor.factored(structured.blr_tiles(a, n, o), n, o)
+    digits = [len(str(x._jdf.queryExecution().analyzed().stats().sizeInBytes())) for step in got.steps for x in step if x is not None]
+    assert max(digits) < 25
