@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessaline import factor_queries
 from tessaline import queries as q
 from tessaline.operators import dense, points, sparse, structured, tilefactor
-from tessaline.plans import kernel_regression, multifrontal
+from tessaline.plans import construct, kernel_regression, multifrontal
 
 DATA = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -143,3 +143,25 @@ def test_estimated_sizes_do_not_grow_with_the_steps(spark):
     got = tilefactor.factored(structured.blr_tiles(a, n, o), n, o)
     digits = [len(str(x._jdf.queryExecution().analyzed().stats().sizeInBytes())) for step in got.steps for x in step if x is not None]
     assert max(digits) < 25
+
+@pytest.mark.parametrize("symmetric", [False, True])
+def test_a_large_tile_is_evaluated_and_factored_by_pieces(spark, symmetric, monkeypatch):
+    monkeypatch.setattr(structured, "WHOLE", 32)
+    monkeypatch.setattr(structured, "INNER", 12)
+    n, o = 230, structured.Options(leaf=57, rtol=1e-13, atol=1e-14)
+    at = np.sort(np.random.default_rng(5).random(n)) * 9
+
+    def f(rows, cols):
+        assert len(rows) * len(cols) <= 32 * 32
+        skew = 0.0 if symmetric else 0.1 * np.sin(at[rows])[:, None]
+        return (np.asarray(rows)[:, None] == np.asarray(cols)[None]) * 3.0 + 1 / (1 + np.abs(at[rows][:, None] - at[cols][None])) + skew
+
+    tiles = construct.tiles_from_elements(spark, f, n, o)
+    x = np.cos(np.arange(n))
+    given = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "i long, v double")
+    b = structured.tile_multiply(tiles, given, n, o.leaf)
+    whole = np.block([[f(np.arange(i, min(n, i + 30)), np.arange(j, min(n, j + 30))) for j in range(0, n, 30)] for i in range(0, n, 30)])
+    assert np.abs(np.array([r["v"] for r in b.orderBy("i").collect()]) - whole @ x).max() < 1e-9
+    assert np.abs(structured.tile_dense(tiles, n, o.leaf) - whole).max() < 1e-9
+    got = tilefactor.solved(tilefactor.factored(tiles, n, o, symmetric), b, n, o)
+    assert np.abs(np.array([r["v"] for r in got.orderBy("i").collect()]) - x).max() < 1e-9
