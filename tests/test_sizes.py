@@ -165,3 +165,26 @@ def test_a_large_tile_is_evaluated_and_factored_by_pieces(spark, symmetric, monk
     assert np.abs(structured.tile_dense(tiles, n, o.leaf) - whole).max() < 1e-9
     got = tilefactor.solved(tilefactor.factored(tiles, n, o, symmetric), b, n, o)
     assert np.abs(np.array([r["v"] for r in got.orderBy("i").collect()]) - x).max() < 1e-9
+
+
+def test_orders_and_patterns_are_no_objects_on_the_driver(spark, monkeypatch):
+    from tessaline.sources import generators
+
+    rows = []
+    crossing = multifrontal.Solver._crossing
+
+    def counted(self, *args):
+        found = crossing(self, *args)
+        rows.append(len(found[0]))
+        return found
+
+    monkeypatch.setattr(multifrontal.Solver, "_crossing", counted)
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", None)
+    monkeypatch.setattr(multifrontal, "_SHIPPED", 8)
+    a, n = generators.poisson2d(spark, 60, 10), 600
+    o = multifrontal.Options(ordering="geometric", sides=(60, 10, 1), leaf=64, krylov="direct")
+    solver = multifrontal.Solver(o).set_matrix(a, n)
+    b = a.groupBy("i").agg(F.sum(F.col("v") * F.col("j")).alias("v"))
+    got = {r["i"]: r["v"] for r in solver.solve(b).x.collect()}
+    assert len(got) == n and all(abs(v - k) < 1e-8 for k, v in got.items())
+    assert isinstance(solver.order, np.ndarray) and 0 < rows[0] < a.count() / 3
