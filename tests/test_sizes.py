@@ -188,3 +188,35 @@ def test_orders_and_patterns_are_no_objects_on_the_driver(spark, monkeypatch):
     got = {r["i"]: r["v"] for r in solver.solve(b).x.collect()}
     assert len(got) == n and all(abs(v - k) < 1e-8 for k, v in got.items())
     assert isinstance(solver.order, np.ndarray) and 0 < rows[0] < a.count() / 3
+
+
+@pytest.mark.parametrize("limit", [1024, 6])
+def test_a_product_by_column_ranges_is_the_product(spark, limit, monkeypatch):
+    monkeypatch.setattr(dense, "_ROWS", limit)
+    monkeypatch.setattr(dense, "_ENTRIES", 16)
+    monkeypatch.setattr(dense, "_PRODUCTS", 40)
+    a = spark.range(400).select((F.col("id") * 7 % 23).alias("i"), (F.col("id") * 3 % 31).alias("j"), (F.col("id") % 5 + 1).cast("double").alias("v"))
+    got = dense.gram_pieces(a, 0.5)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    m, found = np.zeros((23, 31)), np.zeros((23, 23))
+    for r in a.collect():
+        m[r["i"], r["j"]] += r["v"]
+    for r in got.collect():
+        assert len(r["v"]) <= 40
+        np.add.at(found, (r["i"], r["j"]), r["v"])
+    assert (found == np.tril(m @ m.T) * 0.5).all()
+
+
+def test_connected_parts_of_a_matrix_need_no_tiles(spark, monkeypatch):
+    # suppliers 0 to 34 in parts of 7, 35 to 39 without a line
+    lines = spark.range(700).select((F.col("id") % 35).alias("l_suppkey"), (F.expr("id % 35 div 7") * 50 + F.col("id") * 11 % 13).alias("l_partkey"), (F.col("id") % 9 + 1).cast("double").alias("l_quantity"))
+    made = {"lineitem": lines, "supplier": spark.range(40).select(F.col("id").alias("s_suppkey"), (F.col("id") * 1.25 - 9).alias("s_acctbal"))}
+    monkeypatch.setattr(factor_queries, "_t", lambda s, d, name: made[name])
+    monkeypatch.setattr(q, "_t", lambda s, d, name: made[name])
+    sides, factored = [], tilefactor.factored
+    monkeypatch.setattr(tilefactor, "factored", lambda tiles, n, o, symmetric: sides.append(n) or factored(tiles, n, o, symmetric))
+    for part, tiled in ((2048, []), (6, [35])):
+        monkeypatch.setattr(tilefactor, "PART", part)
+        got = {r["i"]: r["v"] for r in q.QUERIES["spd_solve"](spark, "").collect()}
+        assert got == {k: k * 1.25 - 9 for k in range(40)}
+        assert sides == tiled
