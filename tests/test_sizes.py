@@ -226,6 +226,6 @@ def test_ties_are_rounded_as_sql_does(spark):
     # all of them binary fractions, so the seventh digit is exactly 5
     m = np.array([[0.9765625, -0.9765625, 0.0390625], [0.4453125, -0.0078125, 1e-9], [2.0000001, -1e-9, 5.5]])
     want = {(int(i), int(j)): float(np.sign(v) * np.floor(abs(v) * 1e6 + 0.5) / 1e6) for (i, j), v in np.ndenumerate(m)}
-    for got in (factor_queries._table(spark, m, 6), factor_queries._columns_table(spark, m, 3, 3, 6, lambda h, lo, hi: h[:, lo:hi])):
+    for got in (factor_queries._table(spark, m, 6), factor_queries._columns_table(spark, m, 3, 3, 6, lambda h, lo, hi: h[:, lo:hi]), factor_queries._columns_table(spark, m * (1 - 1e-15), 3, 3, 6, lambda h, lo, hi: h[:, lo:hi], 1e-14)):
         assert {(r["i"], r["j"]): r["v"] for r in got.collect()} == want
     assert [r["v"] for r in factor_queries._vector(spark, m[0], 6).orderBy("i").collect()] == [0.976563, -0.976563, 0.039063]
